@@ -11,6 +11,9 @@ LABEL_JOINED = "/\\- "
 # Fixed value: the artefact a chat export leaves behind a citation.
 CITATION_ARTEFACT = r":contentReference\[[^\]]+\]\{[^}]+\}"
 
+# Fixed value: what counts as whitespace, beside the Unicode property.
+SPACE = "[\\s\\x1c-\\x1f]"
+
 
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -30,7 +33,7 @@ def normalize_key(value: Column | str, ascii: bool = False) -> Column:
 
 def strip_ws(value: Column | str) -> Column:
     """Strip every kind of whitespace, not only spaces."""
-    return F.regexp_replace(_col(value), "(?U)^\\s+|\\s+$", "")
+    return F.regexp_replace(_col(value), f"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def slug_label(value: Column | str, empty: str | None = None, drop_only_quote: bool = False) -> Column:
