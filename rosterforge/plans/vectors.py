@@ -377,7 +377,7 @@ def preferred_reference(spark, sf):
 
 @query("method_priority", f"""WITH x AS (SELECT event_id, {SQL_TAGS}[user_id % 10 + 1] AS a, {SQL_TAGS}[event_id % 10 + 1] AS b, event_id % 6 AS k FROM events),
 y AS (SELECT *, [a, b] AS ab FROM x) SELECT event_id, array_to_string(CASE k WHEN 0 THEN {_SUB.format(x='ab')} WHEN 1 THEN {_SUB.format(x='[b, a]')} WHEN 2 THEN [a]
-  WHEN 3 THEN {_SUB.format(x='ab')} WHEN 4 THEN CASE WHEN a = 'fire' THEN ['fire'] ELSE [] END ELSE CASE WHEN a = b THEN [a] ELSE [] END END, ',') AS selected FROM y""")
+  WHEN 3 THEN {_SUB.format(x='ab')} WHEN 4 THEN CASE WHEN a = 'fire' THEN ['fire'] ELSE [] END ELSE CASE WHEN a = b THEN [a] WHEN a = 'fire' THEN ['fire'] ELSE [] END END, ',') AS selected FROM y""")
 def method_priority(spark, sf):
     key = F.col("event_id") % 6
     a, b = tag_at(F.col("user_id") % 10), tag_at(F.col("event_id") % 10)
@@ -386,7 +386,6 @@ def method_priority(spark, sf):
         F.when(key == 1, F.array(b, a)).when(key == 2, F.array(a)).alias("combined"),
         F.when(key == 3, F.array(a, F.lit("zz"), b)).when(key >= 4, F.array(a)).alias("fixed"),
         F.when(key == 3, F.array(b, a)).when(key == 5, F.array(b)).alias("symbol"))
-    rows = rows.withColumn("fixed", F.when((key == 5) & (a == "fire") & (b != "fire"), F.array(F.lit("x"))).otherwise(F.col("fixed")))
     return ops.method_priority(rows).select("event_id", F.array_join("selected", ",").alias("selected"))
 
 
