@@ -529,7 +529,7 @@ def candidate_gap(hits: DataFrame, query_id: str = "q", label: str = "label", sh
     top = hits.where(F.col("rank") <= shown)
     packed = F.array_sort(F.collect_list(F.struct("rank", F.col(label).alias("label"), "score")))
     rows = top.groupBy(query_id).agg(packed.alias("top"))
-    text = F.transform("top", lambda s: F.format_string("%s:%.3f", s["label"], s["score"]))
+    text = F.transform("top", lambda s: F.format_string("%s:%.3f", s["label"], F.bround(s["score"], 3)))
     return rows.select(
         query_id, (F.get("top", F.lit(0))["score"] - F.get("top", F.lit(1))["score"]).alias("gap"),
         F.array_join(text, " | ").alias("top_text"), "top")

@@ -404,7 +404,7 @@ def cluster_vectors(spark, sf):
     return clusters.cluster_vectors(e, 10).select("vec_id", "cluster", "cluster_name")
 
 
-EPS, MIN_SAMPLES = 0.9, 3
+EPS, MIN_SAMPLES = 1.15, 3
 
 
 @query("density_clusters", f"""WITH RECURSIVE e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,11 @@ def durable_checkpoint(df: DataFrame) -> DataFrame:
         folder = context.getConf().get(CHECKPOINT_CONF) or tempfile.mkdtemp(prefix="rosterforge-ckpt-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def staging_dir(spark: SparkSession, name: str) -> str:
+    """A fresh shared folder for tables a job writes and reads back."""
+    base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    if base:
+        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{tempfile.mkdtemp(prefix='rosterforge-')}/{name}"
