@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def half_even(value: Column) -> Column:
     """Nearest integer, halves to even."""
-    return F.bround(value.cast("double"), 0).cast("long")
+    return F.rint(value).cast("long")
 
 
 def box(x: Column, y: Column, width: Column, height: Column) -> Column:
@@ -51,6 +51,12 @@ def shared_area(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0), w) * F.greatest(F.lit(0), h)
 
 
+def touching(a: Column, b: Column) -> Column:
+    """Cheap first test: whether two boxes share any area."""
+    return ((a["x"] < b["x"] + b["width"]) & (b["x"] < a["x"] + a["width"])
+            & (a["y"] < b["y"] + b["height"]) & (b["y"] < a["y"] + a["height"]))
+
+
 def iou(a: Column, b: Column) -> Column:
     both = shared_area(a, b)
     return both / F.greatest(F.lit(1), area(a) + area(b) - both)

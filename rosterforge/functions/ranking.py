@@ -41,3 +41,16 @@ def ordered_array(order: Sequence[Column], *values: Column) -> Column:
     """Aggregate: structs of ``values`` sorted by ``order``. Bound the group first."""
     packed = F.struct(F.struct(*order).alias("o"), F.struct(*values).alias("v"))
     return F.transform(F.array_sort(F.collect_list(packed)), lambda s: s["v"])
+
+
+def explode_once(df: DataFrame, array: Column, value: str, pos: str | None = None) -> DataFrame:
+    """Explode a computed array without computing it twice.
+
+    A plain ``explode`` makes the optimizer add a ``size(array) > 0`` filter below it, which
+    repeats the whole array expression. The outer form adds none; its empty row is dropped here.
+    """
+    if pos is None:
+        rows = df.select("*", F.explode_outer(array).alias(value))
+    else:
+        rows = df.select("*", F.posexplode_outer(array).alias(pos, value))
+    return rows.where(F.col(value).isNotNull())

@@ -1,17 +1,20 @@
 """Stat tables, damage rolls, matchups and speed order.
 
 Rolls live in an array beside their pair, so rolls, hit counts, summaries and n-hit chances are
-all projections: a matchup table of any size is computed without a shuffle.
+all row-wise: a matchup table of any size is computed without a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterforge.functions import battle as B
+from rosterforge.functions.ranking import explode_once
 
 # Total and single limits of stat points.
 MAX_STAT_POINTS = 32
@@ -146,9 +149,8 @@ def damage_rolls(pairs: DataFrame) -> DataFrame:
 
 def explode_rolls(rolled: DataFrame) -> DataFrame:
     """One row per roll: ``roll`` 85..100 and ``dmg``."""
-    return rolled.select(*[c for c in rolled.columns if c != "rolls"],
-                         F.posexplode("rolls").alias("_i", "dmg")).withColumn(
-        "roll", F.col("_i") + B.ROLLS[0]).drop("_i")
+    rows = explode_once(rolled, F.col("rolls"), "dmg", "_i")
+    return rows.withColumn("roll", F.col("_i") + B.ROLLS[0]).drop("_i", "rolls")
 
 
 def expand_hit_counts(moves: DataFrame, rules: DataFrame, key: str = "move", weighted: bool = False) -> DataFrame:
@@ -265,11 +267,12 @@ def matchup_matrix(entities: DataFrame, roster: DataFrame, mode: str = "one-vs-a
 def ko_chance_n_hits(rolled: DataFrame, n: int, rolls: str = "rolls", hp: str = "hp",
                      residual: str | None = None, max_hp: str | None = None,
                      toxic: str | None = None) -> DataFrame:
-    """Exact probability that ``n`` hits reach ``hp``.
+    """Exact probability that ``n`` hits reach ``hp``, with the number of winning roll tuples.
 
     ``residual`` is the end-of-turn gain; a net gain is ignored on the last turn. ``toxic`` is
-    the poison counter, which grows by one per turn. The last equal-likely sums are counted,
-    not binned.
+    the poison counter, which grows by one per turn. The distribution of the sum is an integer
+    convolution per row inside Arrow batches, exact and without a shuffle; equal sums merge, so
+    it is never binned.
     """
     zero = F.lit(0).cast("long")
     eot = F.coalesce(F.col(residual).cast("long"), zero) if residual else zero
@@ -283,13 +286,30 @@ def ko_chance_n_hits(rolled: DataFrame, n: int, rolls: str = "rolls", hp: str =
     healed = F.least(zero, eot - poison(n - 1))
     for turn in range(n - 1):
         healed = healed + eot - poison(turn)
-    need = F.col(hp).cast("long") + healed - n * F.array_min(rolls)
-    dist = B.ordered_sum_distribution(F.col(rolls), n)
-    reached = F.aggregate(F.transform(dist, lambda c, s: F.when(s >= need, c).otherwise(zero)), zero, lambda a, c: a + c)
-    return rolled.withColumn("ko_ways", reached).withColumn(
+    return rolled.withColumn("ko_ways", winning_tuples(n)(F.col(rolls), F.col(hp).cast("long") + healed)).withColumn(
         "ko_chance", F.col("ko_ways") / F.pow(F.size(rolls).cast("double"), F.lit(float(n))))
 
 
+def winning_tuples(n: int):
+    """Arrow function: how many of the roll tuples of length ``n`` sum to at least the need."""
+    if n > 15:
+        raise ValueError("more than 15 hits overflow a 64-bit count of tuples")
+
+    @F.pandas_udf("long")
+    def count(rolls: pd.Series, need: pd.Series) -> pd.Series:
+        out = np.empty(len(rolls), dtype="int64")
+        for row, (values, wanted) in enumerate(zip(rolls.to_numpy(), need.to_numpy())):
+            low = values.min()
+            single = np.bincount(values - low)
+            ways = single
+            for _ in range(n - 1):
+                ways = np.convolve(ways, single)
+            out[row] = ways[max(0, wanted - n * low):].sum()
+        return pd.Series(out)
+
+    return count
+
+
 def part_of(hp: Column, by: int) -> Column:
     return F.greatest(F.lit(1).cast("long"), B.int_div(hp, by))
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rosterforge.functions.ranking import first_per_key, top_k, top_k_per_key
+from rosterforge.functions.ranking import explode_once, first_per_key, top_k, top_k_per_key
 from rosterforge.functions.strings import (
     api_name, blank_to_null, normalize_key, slug_label, strip_ws,
 )
@@ -407,7 +407,7 @@ def infer_by_containment(stems: DataFrame, records: DataFrame, stem: str = "stem
     size = F.length("key")
     order = F.struct(F.col("kind"), F.when(F.col("kind") == 0, -size).otherwise(size), F.col("_pos"))
     hits = (
-        text.select(stem, F.explode(grams).alias("key")).join(names, "key")
+        explode_once(text.select(stem, grams.alias("_g")), F.col("_g"), "key").drop("_g").join(names, "key")
         .groupBy(stem).agg(F.min_by("rec", order).alias("rec"))
     )
     return stems.join(hits, stem, "left")

@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterforge.functions.ranking import first_per_key, top_k_per_key
+from rosterforge.functions.ranking import explode_once, first_per_key, top_k_per_key
 from rosterforge.functions.strings import SPACE, clean_text, occurrences, strip_ws
 from rosterforge.functions.vectors import l2_normalize
+from rosterforge.operators.blocks import local_topk
 
 # Words a ranking question ignores.
 STOP_WORDS = ("what", "does", "this", "that", "the", "and", "for")
@@ -115,7 +116,8 @@ def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUN
                     text: str = "text") -> DataFrame:
     """Overlapping chunks, indexed from 1, one projection and one explode."""
     kept = [c for c in docs.columns if c != text]
-    chunks = docs.select(*kept, F.posexplode(split_text(F.col(text), size, overlap)).alias("_i", text))
+    pieces = docs.select(*kept, split_text(F.col(text), size, overlap).alias("_c"))
+    chunks = explode_once(pieces, F.col("_c"), text, "_i")
     return chunks.select(*kept, (F.col("_i") + 1).alias("chunk_index"), F.length(text).alias("chunk_size"), text)
 
 
@@ -240,15 +242,15 @@ def keyword_counts(docs: DataFrame, keywords: DataFrame, key: str, text: str = "
     equi-join on their substrings, and only the matches go back to the documents.
     """
     tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    per_doc = docs.select(key, F.explode(tokens).alias("token")).where(F.length("token") > 2) \
-        .groupBy(key, "token").agg(F.count("*").alias("tf"))
+    per_doc = explode_once(docs.select(key, tokens.alias("_t")), F.col("_t"), "token").where(
+        F.length("token") > 2).groupBy(key, "token").agg(F.count("*").alias("tf"))
     lengths = keywords.agg(F.array_sort(F.collect_set(F.length("keyword"))).alias("l")).scalar()
     vocabulary = per_doc.select("token").distinct().withColumn("_l", lengths)
     parts = F.array_distinct(F.flatten(F.transform(
         F.filter("_l", lambda n: n <= F.length("token")),
         lambda n: F.transform(F.sequence(F.lit(1), F.length("token") - n + 1),
                               lambda i: F.substring(F.col("token"), i, n)))))
-    matches = vocabulary.select("token", F.explode(parts).alias("keyword")).join(
+    matches = explode_once(vocabulary.select("token", parts.alias("_p")), F.col("_p"), "keyword").drop("_p").join(
         keywords.select("keyword").distinct(), "keyword").select(
         "token", "keyword", occurrences(F.col("token"), F.col("keyword")).alias("occ"))
     return per_doc.join(matches, "token").groupBy(key, "keyword").agg(F.sum(F.col("tf") * F.col("occ")).alias("n"))
@@ -264,52 +266,56 @@ def rank_documents(questions: DataFrame, docs: DataFrame, k: int, key: str = "fi
     """
     spark = docs.sparkSession
     asked = questions.select("q", F.array_sort(keyword_tokens(F.col(question))).alias("_kw"))
-    asked = asked.withColumn("_set", F.xxhash64("_kw"))
-    sets = asked.where(F.size("_kw") > 0).groupBy("_set").agg(F.any_value("_kw").alias("kw"))
-    keywords = sets.select(F.explode("kw").alias("keyword")).distinct()
-    counts = keyword_counts(docs, keywords, key, text)
-    vectors = counts.groupBy(key).agg(F.collect_list(F.struct("keyword", "n")).alias("bag"))
-
+    asked = asked.withColumn("_set", F.array_join("_kw", " "))
+    sets = asked.where(F.col("_set") != "").select("_set").distinct()
     slices = max(1, -(-sets.count() // QUESTION_SLICE))
     salts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // slices))
-    sub = F.pmod(F.col("_set"), F.lit(slices)).cast("int")
-    packed = sets.groupBy(sub.alias("sub")).agg(F.collect_list(F.struct("_set", "kw")).alias("sets"))
-    packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = vectors.select(
-        F.struct(F.col(key).alias("id"), "bag").alias("doc"),
-        F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("salt"),
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("sub"))
-    size = F.pmod(F.xxhash64("doc.id", F.lit(7)), F.greatest(
-        F.lit(1), F.ceil(vectors.agg(F.count("*")).scalar() / (DOC_BLOCK * salts)).cast("int")))
-    blocks = spread.groupBy("sub", "salt", size.alias("blk")).agg(F.collect_list("doc").alias("docs"))
-    met = blocks.join(packed, ["sub", "salt"]).select("sets", "docs")
+    sliced = sets.select("_set", F.pmod(F.xxhash64("_set"), F.lit(slices)).cast("int").alias("sub"))
+
+    # Each slice numbers its own keywords; documents carry those small numbers.
+    words = sliced.select("sub", F.explode(F.split("_set", " ")).alias("keyword")).distinct()
+    numbered = words.withColumn("kid", F.row_number().over(Window.partitionBy("sub").orderBy("keyword")) - 1)
+    coded = sliced.select("sub", "_set", F.explode(F.split("_set", " ")).alias("keyword")).join(
+        numbered, ["sub", "keyword"]).groupBy("sub", "_set").agg(F.collect_list("kid").alias("kids"))
+    packed = coded.groupBy("sub").agg(F.collect_list(F.struct("_set", "kids")).alias("s"))
+    packed = packed.select(
+        "sub", F.transform("s", lambda e: e["_set"]).alias("sets"), F.transform("s", lambda e: F.size(e["kids"])).alias("set_sizes"),
+        F.flatten(F.transform("s", lambda e: e["kids"])).alias("set_kids"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+
+    counts = keyword_counts(docs, words.select("keyword"), key, text).join(numbered, "keyword")
+    bags = counts.groupBy("sub", F.col(key).alias("id")).agg(F.collect_list(F.struct("kid", "n")).alias("bag"))
+    per_salt = F.greatest(F.lit(1), F.ceil(docs.agg(F.count("*")).scalar() / (DOC_BLOCK * salts))).cast("int")
+    blocks = bags.groupBy(
+        "sub", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"),
+        F.pmod(F.xxhash64("id", F.lit(7)), per_salt).alias("block"),
+    ).agg(F.array_sort(F.collect_list(F.struct("id", "bag"))).alias("d"))
+    blocks = blocks.select(
+        "sub", "salt", F.transform("d", lambda e: e["id"]).alias("ids"), F.transform("d", lambda e: F.size(e["bag"])).alias("doc_sizes"),
+        F.flatten(F.transform("d", lambda e: F.transform(e["bag"], lambda p: p["kid"]))).alias("doc_kids"),
+        F.flatten(F.transform("d", lambda e: F.transform(e["bag"], lambda p: p["n"]))).alias("doc_counts"))
+    fields = ["sets", "set_sizes", "set_kids", "ids", "doc_sizes", "doc_kids", "doc_counts"]
+    met = blocks.join(packed, ["sub", "salt"]).select(*fields)
     schema = T.StructType([
-        T.StructField("_set", T.LongType()), T.StructField("id", docs.schema[key].dataType),
+        T.StructField("_set", T.StringType()), T.StructField("id", docs.schema[key].dataType),
         T.StructField("score", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from rosterforge.operators.blocks import local_topk
         for batch in batches:
-            for row in batch.to_pylist():
-                documents = sorted(row["docs"], key=lambda d: d["id"])
-                slot: dict[str, int] = {}
-                for s in row["sets"]:
-                    for word in s["kw"]:
-                        slot.setdefault(word, len(slot))
-                matrix = np.zeros((len(slot), len(documents)), dtype="int64")
-                for j, d in enumerate(documents):
-                    for pair in d["bag"]:
-                        i = slot.get(pair["keyword"])
-                        if i is not None:
-                            matrix[i, j] = pair["n"]
-                scores = np.stack([matrix[[slot[w] for w in s["kw"]]].sum(axis=0) for s in row["sets"]])
+            for i in range(batch.num_rows):
+                part = {f: batch.column(j).slice(i, 1).flatten() for j, f in enumerate(fields)}
+                numbers = {f: part[f].to_numpy(zero_copy_only=False) for f in fields if f not in ("sets", "ids")}
+                matrix = np.zeros((int(numbers["set_kids"].max()) + 1, len(part["ids"])), dtype="int64")
+                places = np.repeat(np.arange(len(part["ids"])), numbers["doc_sizes"])
+                matrix[numbers["doc_kids"], places] = numbers["doc_counts"]
+                starts = np.concatenate([[0], np.cumsum(numbers["set_sizes"])[:-1]])
+                scores = np.add.reduceat(matrix[numbers["set_kids"]], starts, axis=0)
                 rows, cols = local_topk(scores, k)
-                keep = scores[rows, cols] > 0
-                rows, cols = rows[keep], cols[keep]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([row["sets"][i]["_set"] for i in rows], pa.int64()),
-                    pa.array([documents[j]["id"] for j in cols], batch.schema.field("docs").type.value_type.field("id").type),
-                    pa.array(scores[rows, cols], pa.int64())], ["_set", "id", "score"])
+                hit = scores[rows, cols] > 0
+                rows, cols = rows[hit], cols[hit]
+                yield pa.RecordBatch.from_arrays(
+                    [part["sets"].take(pa.array(rows)), part["ids"].take(pa.array(cols)), pa.array(scores[rows, cols], pa.int64())],
+                    schema.fieldNames())
 
     best = top_k_per_key(met.mapInArrow(run, schema), ["_set"], [F.desc("score"), F.asc("id")], k)
     return asked.select("q", "_set").join(best, "_set").select("q", "rank", F.col("id").alias(key), "score")
@@ -368,7 +374,7 @@ def extract_relations(chunks: DataFrame, key: str = "chunk_id", text: str = "tex
 
     rows = chunks.select(key, lines.alias("_lines"))
     rows = rows.select(key, first_line(TRADE_SECTION).alias("_trade"), first_line(LEVEL_SECTION).alias("_level"),
-                       F.posexplode("_lines").alias("line_no", "_line")).where(F.col("_line").rlike("\\+"))
+                       F.posexplode_outer("_lines").alias("line_no", "_line")).where(F.col("_line").rlike("\\+"))
     line = strip_ws(F.regexp_replace(strip_ws("_line"), "^-+", ""))
     line = F.replace(F.replace(line, F.lit("â†’"), F.lit("->")), F.lit("→"), F.lit("->"))
     pattern = "^(.+?)\\s+\\+\\s+(.+?)\\s+->\\s+(.+)"

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from rosterforge.functions import boxes as X
 from rosterforge.operators import clusters, curation as ops
 from rosterforge.plans.registry import query
-from rosterforge.plans.standins import SQL_FILES, SQL_TAGS, TAGS, files, table, tag_at
+from rosterforge.plans.standins import SQL_TAGS, TAGS, table, tag_at
+from rosterforge.session import spread
 
 
 def boxes(spark, sf):
     """Line items as boxes; sixteen orders share an image."""
-    li = table(spark, sf, "lineitem")
+    li = spread(table(spark, sf, "lineitem"))
     p, s = F.col("l_partkey"), F.col("l_suppkey")
     return li.select(
         F.floor(F.col("l_orderkey") / 16).alias("image"), (p * 100000 + s * 10 + F.col("l_linenumber")).alias("pos"),

@@ -8,13 +8,14 @@ from rosterforge.functions.strings import clean_text as clean
 from rosterforge.operators import text as ops
 from rosterforge.plans.registry import query
 from rosterforge.plans.standins import table
+from rosterforge.session import spread
 
 # Every third document gets blank lines, carriage returns and tabs, so that cleaning and the
 # paragraph cuts have something to do.
 
 
 def raw_docs(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     messy = F.replace(F.replace("text", F.lit(".\n"), F.lit(".\r\n\r\n \r\n\r\n")), F.lit(", "), F.lit(", \t "))
     return d.select("doc_id", F.when(F.col("doc_id") % 3 == 0, messy).otherwise(F.col("text")).alias("text"))
 
@@ -90,7 +91,7 @@ def sample_chunks(spark, sf):
 
 @query("embed_column")
 def embed_column(spark, sf):
-    rows = ops.embed_column(table(spark, sf, "documents").select("doc_id", "text"), "text", ops.hashed_token_encoder)
+    rows = ops.embed_column(spread(table(spark, sf, "documents")).select("doc_id", "text"), "text", ops.hashed_token_encoder)
     return rows.select("doc_id", F.size("embedding").alias("dims"), F.round(F.get("embedding", F.lit(0)), 4).alias("first"))
 
 
@@ -102,7 +103,7 @@ def questions(spark, sf):
 
 
 def _named(spark, sf):
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 10, "0")).alias("filename"), "doc_id", "text")
 
 
@@ -183,7 +184,7 @@ def _chunk_table(spark, sf):
 
 
 def _hits(spark, sf):
-    ranked = ops.rank_documents(questions(spark, sf), table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), 3, key="chunk_id")
+    ranked = ops.rank_documents(questions(spark, sf), spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("chunk_id"), "text"), 3, key="chunk_id")
     return ranked.withColumn("score", F.col("score").cast("double"))
 
 

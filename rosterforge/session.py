@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -25,6 +26,8 @@ def build_session(app: str = "rosterforge", master: str | None = None,
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.driver.memory", os.environ.get("ROSTERFORGE_DRIVER_MEMORY", "12g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
@@ -49,3 +52,13 @@ def staging_dir(spark: SparkSession, name: str) -> str:
     if base:
         return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     return f"{tempfile.mkdtemp(prefix='rosterforge-')}/{name}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance an input of very few files before CPU-heavy projections.
+
+    A table with fewer files than task slots would leave most of them idle; with more files
+    this is the identity and adds no shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if 0 < len(df.inputFiles()) < slots else df

@@ -15,7 +15,7 @@ from rosterforge.sources.readers import path_missing
 from rosterforge.sources.writers import append_table
 
 # Shape of a landed tournament payload.
-PAYLOAD = T._parse_datatype_string(
+PAYLOAD = (
     "id string, date string, format string, name string, players int, isOnline boolean, decklists boolean, game string, "
     "organizer string, url string, page bigint, pos bigint, "
     "standings array<struct<player string, name string, country string, placing int, wins int, losses int, ties int, "
