@@ -17,7 +17,7 @@ HEADLINE = [
     "usage_summary", "top_moves_per_entity", "top_teams_per_entity", "flatten_teamlists", "flatten_matches",
     "select_new_until_known", "dedupe_by_content_hash", "build_lookup", "resolve_names", "enrich_detected",
     "infer_by_containment", "type_multiplier", "damage_rolls", "damage_summary", "matchup_matrix",
-    "ko_chance_n_hits", "chunk_documents", "rank_documents", "extract_answer", "knn_topk", "filtered_nearest",
+    "ko_chance_n_hits", "chunk_documents", "rank_documents", "knn_topk", "filtered_nearest",
     "arbitrate_matches", "staged_rerank", "suppress_overlaps", "rows_by_proximity", "merge_boxes",
     "runs_above_threshold", "image_summary", "train_val_split", "density_clusters",
 ]

@@ -6,7 +6,7 @@ all row-wise: a matchup table of any size is computed without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterforge.functions import battle as B
-from rosterforge.functions.ranking import explode_once
 
 # Total and single limits of stat points.
 MAX_STAT_POINTS = 32
@@ -115,17 +114,21 @@ def type_multipliers(pairs: DataFrame, move_type: str = "move_type", types: str
         "effectiveness", B.effectiveness_label(F.col("f_type")))
 
 
-def rolls_column(columns: Sequence[str]) -> Column:
-    """Array of the 16 damage rolls; an absent factor column counts as 1."""
+def _chain(columns: Sequence[str]) -> tuple[Column, Column, Callable[[Column, Column], Column]]:
+    """Damage before the roll, whether it is immune, and the step from (roll, start) to damage.
+
+    Only factor columns that exist take part; a null factor counts as 1.
+    """
     def factor(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(1.0)) if name in columns else F.lit(1.0)
 
     base = B.base_damage(F.col("level"), F.col("power"), F.col("attack"), F.col("defense"))
     head = FLOORED_FIRST.index("roll")
-    before = B.product_floor(base, [factor(n) for n in FLOORED_FIRST[:head] if n in columns])
+    start = B.product_floor(base, [factor(n) for n in FLOORED_FIRST[:head] if n in columns])
+    immune = (factor("f_weather") == 0) | (factor("f_type") == 0) | (F.coalesce("power", F.lit(0)) <= 0)
 
-    def one(roll: Column, start: Column) -> Column:
-        value = B.long_floor(start * (roll / 100))
+    def one(roll: Column, value: Column) -> Column:
+        value = B.long_floor(value * (roll / 100))
         value = B.product_floor(value, [factor(n) for n in FLOORED_FIRST[head + 1:] if n in columns])
         for name in ROUNDED:
             if name in columns:
@@ -136,21 +139,27 @@ def rolls_column(columns: Sequence[str]) -> Column:
             value = B.round_half_down(value * factor("f_friend_guard"))
         return F.greatest(F.lit(1).cast("long"), value)
 
-    immune = (factor("f_weather") == 0) | (factor("f_type") == 0) | (F.coalesce("power", F.lit(0)) <= 0)
-    rolls = F.element_at(F.transform(F.array(before), lambda start: F.transform(
-        F.sequence(F.lit(B.ROLLS[0]), F.lit(B.ROLLS[1])), lambda r: one(r, start))), 1)
-    return F.when(immune, F.array_repeat(F.lit(0).cast("long"), 16)).otherwise(rolls)
+    return start, immune, one
 
 
 def damage_rolls(pairs: DataFrame) -> DataFrame:
-    """Add ``rolls`` (16 values, ascending) from level, power, attack, defense and factor columns."""
-    return pairs.withColumn("rolls", rolls_column(pairs.columns))
+    """One row per roll: ``roll`` 85..100 and ``dmg``, from level, power, attack, defense and factors.
+
+    Scalar arithmetic after a constant explode, so the whole chain is generated code.
+    """
+    start, immune, one = _chain(pairs.columns)
+    rows = pairs.select("*", start.alias("_start"), immune.alias("_immune"),
+                        F.explode(F.sequence(F.lit(B.ROLLS[0]), F.lit(B.ROLLS[1]))).alias("roll"))
+    dmg = F.when(F.col("_immune"), F.lit(0).cast("long")).otherwise(one(F.col("roll"), F.col("_start")))
+    return rows.select(*pairs.columns, "roll", dmg.alias("dmg"))
 
 
-def explode_rolls(rolled: DataFrame) -> DataFrame:
-    """One row per roll: ``roll`` 85..100 and ``dmg``."""
-    rows = explode_once(rolled, F.col("rolls"), "dmg", "_i")
-    return rows.withColumn("roll", F.col("_i") + B.ROLLS[0]).drop("_i", "rolls")
+def with_rolls(pairs: DataFrame) -> DataFrame:
+    """The same damage as an ascending array ``rolls`` of 16 beside its pair."""
+    start, immune, one = _chain(pairs.columns)
+    rolls = F.element_at(F.transform(F.array(start), lambda value: F.transform(
+        F.sequence(F.lit(B.ROLLS[0]), F.lit(B.ROLLS[1])), lambda r: one(r, value))), 1)
+    return pairs.withColumn("rolls", F.when(immune, F.array_repeat(F.lit(0).cast("long"), 16)).otherwise(rolls))
 
 
 def expand_hit_counts(moves: DataFrame, rules: DataFrame, key: str = "move", weighted: bool = False) -> DataFrame:
@@ -176,11 +185,13 @@ def pooled_totals(rolls: Column, hit_counts: Column) -> Column:
     return F.array_sort(F.flatten(F.transform(hit_counts, lambda h: F.transform(rolls, lambda d: d * h))))
 
 
-def ko_class(totals: Column, hp: Column) -> Column:
+def ko_class(totals: Column, hp: Column, low: Column | None = None, high: Column | None = None,
+             one: Column | None = None) -> Column:
     """Knock-out class of pooled totals against the remaining hit points."""
     n = F.size(totals)
-    one = F.size(F.filter(totals, lambda d: d >= hp))
-    low, high = F.array_min(totals), F.array_max(totals)
+    one = F.size(F.filter(totals, lambda d: d >= hp)) if one is None else one
+    low = F.array_min(totals) if low is None else low
+    high = F.array_max(totals) if high is None else high
     share = F.bround(one / n * 100, 1)
     return (
         F.when((n == 0) | (hp <= 0) | totals.isNull(), "Unknown")
@@ -194,19 +205,23 @@ def ko_class(totals: Column, hp: Column) -> Column:
 
 def damage_summary(rolled: DataFrame, totals: str = "totals", hp: str = "hp", max_hp: str = "max_hp") -> DataFrame:
     """Replace pooled totals by min, max, mean, percents, sorted values and class, row by row."""
-    t = F.array_sort(totals)
-    mean = F.aggregate(t, F.lit(0).cast("long"), lambda a, d: a + d) / F.size(t)
-    low, high = F.array_min(t), F.array_max(t)
+    kept = [c for c in rolled.columns if c != totals]
+    rows = rolled.select(*kept, F.array_sort(totals).alias("_t"))
+    t = F.col("_t")
+    rows = rows.select(
+        *kept, "_t", F.array_min(t).alias("_low"), F.array_max(t).alias("_high"),
+        F.size(F.filter(t, lambda d: d >= F.col(hp))).alias("_one"),
+        (F.aggregate(t, F.lit(0).cast("long"), lambda a, d: a + d) / F.nullif(F.size(t), F.lit(0))).alias("_mean"))
+    low, high = F.col("_low"), F.col("_high")
 
     def percent(value: Column) -> Column:
         return F.when((F.col(max_hp) <= 0) | value.isNull(), 0.0).otherwise(F.bround(value / F.col(max_hp) * 100, 1))
 
-    return rolled.select(
-        *[c for c in rolled.columns if c != totals],
-        F.coalesce(low, F.lit(0)).alias("min_damage"), F.coalesce(high, F.lit(0)).alias("max_damage"),
-        F.coalesce(F.bround(mean, 2), F.lit(0.0)).alias("mean_damage"), t.alias("damage_values"),
+    return rows.select(
+        *kept, F.coalesce(low, F.lit(0)).alias("min_damage"), F.coalesce(high, F.lit(0)).alias("max_damage"),
+        F.coalesce(F.bround("_mean", 2), F.lit(0.0)).alias("mean_damage"), t.alias("damage_values"),
         percent(low).alias("min_percent"), percent(high).alias("max_percent"),
-        ko_class(t, F.col(hp)).alias("ko_class"))
+        ko_class(t, F.col(hp), low, high, F.col("_one")).alias("ko_class"))
 
 
 def pair_with_roster(rows: DataFrame, roster: DataFrame, name: str = "other") -> DataFrame:

@@ -234,26 +234,32 @@ def keyword_tokens(col: Column, stop: Sequence[str] = STOP_WORDS, distinct: bool
     return F.array_except(F.array_distinct(tokens), F.array(*[F.lit(s) for s in stop])) if stop else F.array_distinct(tokens)
 
 
-def keyword_counts(docs: DataFrame, keywords: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Occurrences of every keyword in every document: ``key, keyword, n``.
+def token_matches(docs: DataFrame, keywords: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Tokens of every document, and which keywords each distinct token holds how often.
 
-    A keyword is a run of letters and digits, so each occurrence lies inside one such run of the
-    text. Documents become token counts, the distinct tokens meet the keywords through an
-    equi-join on their substrings, and only the matches go back to the documents.
+    A keyword is a run of letters and digits, so each of its occurrences lies inside one such run
+    of the text. Distinct tokens meet the keywords through an equi-join on their substrings of
+    the lengths that keywords really have.
     """
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    per_doc = explode_once(docs.select(key, tokens.alias("_t")), F.col("_t"), "token").where(
-        F.length("token") > 2).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    runs = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    tokens = explode_once(docs.select(key, runs.alias("_t")), F.col("_t"), "token").where(
+        F.length("token") > 2).select(key, "token")
     lengths = keywords.agg(F.array_sort(F.collect_set(F.length("keyword"))).alias("l")).scalar()
-    vocabulary = per_doc.select("token").distinct().withColumn("_l", lengths)
+    vocabulary = tokens.select("token").distinct().withColumn("_l", lengths)
     parts = F.array_distinct(F.flatten(F.transform(
         F.filter("_l", lambda n: n <= F.length("token")),
         lambda n: F.transform(F.sequence(F.lit(1), F.length("token") - n + 1),
                               lambda i: F.substring(F.col("token"), i, n)))))
-    matches = explode_once(vocabulary.select("token", parts.alias("_p")), F.col("_p"), "keyword").drop("_p").join(
-        keywords.select("keyword").distinct(), "keyword").select(
+    pieces = explode_once(vocabulary.select("token", parts.alias("_p")), F.col("_p"), "keyword").drop("_p")
+    matches = pieces.join(keywords.select("keyword").distinct(), "keyword").select(
         "token", "keyword", occurrences(F.col("token"), F.col("keyword")).alias("occ"))
-    return per_doc.join(matches, "token").groupBy(key, "keyword").agg(F.sum(F.col("tf") * F.col("occ")).alias("n"))
+    return tokens, matches
+
+
+def keyword_counts(docs: DataFrame, keywords: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """Occurrences of every keyword in every document that holds it: ``key, keyword, n``."""
+    tokens, matches = token_matches(docs, keywords, key, text)
+    return tokens.join(matches, "token").groupBy(key, "keyword").agg(F.sum("occ").alias("n"))
 
 
 def rank_documents(questions: DataFrame, docs: DataFrame, k: int, key: str = "filename",
@@ -283,8 +289,10 @@ def rank_documents(questions: DataFrame, docs: DataFrame, k: int, key: str = "fi
         F.flatten(F.transform("s", lambda e: e["kids"])).alias("set_kids"),
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
 
-    counts = keyword_counts(docs, words.select("keyword"), key, text).join(numbered, "keyword")
-    bags = counts.groupBy("sub", F.col(key).alias("id")).agg(F.collect_list(F.struct("kid", "n")).alias("bag"))
+    tokens, matches = token_matches(docs, words, key, text)
+    coded_tokens = matches.join(numbered, "keyword").select("token", "sub", "kid", "occ")
+    counts = tokens.join(coded_tokens, "token").groupBy("sub", F.col(key).alias("id"), "kid").agg(F.sum("occ").alias("n"))
+    bags = counts.groupBy("sub", "id").agg(F.collect_list(F.struct("kid", "n")).alias("bag"))
     per_salt = F.greatest(F.lit(1), F.ceil(docs.agg(F.count("*")).scalar() / (DOC_BLOCK * salts))).cast("int")
     blocks = bags.groupBy(
         "sub", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"),
@@ -321,26 +329,40 @@ def rank_documents(questions: DataFrame, docs: DataFrame, k: int, key: str = "fi
     return asked.select("q", "_set").join(best, "_set").select("q", "rank", F.col("id").alias(key), "score")
 
 
+def compact_answer(paragraph: Column) -> Column:
+    """Paragraph on one line, cut to the answer limit; null when nothing is left."""
+    def cut(text: Column) -> Column:
+        head = F.regexp_replace(F.substring(text, 1, ANSWER_LIMIT - 3), f"(?U){SPACE}+$", "")
+        return F.when(F.length(text) > ANSWER_LIMIT, F.concat(head, F.lit("..."))).otherwise(F.nullif(text, F.lit("")))
+
+    return bind(strip_ws(F.regexp_replace(paragraph, "(?U)\\s+", " ")), cut)
+
+
 def extract_answer(ranked: DataFrame, questions: DataFrame, docs: DataFrame, key: str = "filename",
                    question: str = "question", text: str = "text") -> DataFrame:
-    """Answer from the best paragraph of the best document; a fixed sentence when none ranked."""
+    """Answer from the best paragraph of the best document; a fixed sentence when none ranked.
+
+    Paragraphs of the chosen documents are counted once, however many questions chose them;
+    questions then only join small keyword counts and short answers.
+    """
     best = ranked.where(F.col("rank") == 1).select("q", key)
-    rows = questions.select("q", question).join(best, "q", "left").join(docs.select(key, text), key, "left")
-    rows = rows.withColumn("_kw", keyword_tokens(F.col(question), distinct=False))
-    paragraphs = F.filter(F.transform(F.split(text, "\\n(?U:\\s*)\\n"), lambda p: strip_ws(p)), lambda p: p != "")
-
-    def score(paragraph: Column) -> Column:
-        return bind(F.lower(paragraph), lambda low: F.aggregate(
-            "_kw", F.lit(0), lambda acc, w: acc + occurrences(low, w)))
-
-    scored = F.transform(F.col("_p"), lambda p, i: F.struct((-score(p)).alias("s"), i.alias("i"), p.alias("p")))
-    rows = rows.withColumn("_p", paragraphs)
-    chosen = F.coalesce(F.array_min(scored)["p"], strip_ws(text))
-    compact = strip_ws(F.regexp_replace(chosen, "(?U)\\s+", " "))
-    cut = F.concat(F.regexp_replace(F.substring("_c", 1, ANSWER_LIMIT - 3), f"(?U){SPACE}+$", ""), F.lit("..."))
-    answer = F.when(F.length("_c") > ANSWER_LIMIT, cut).otherwise(F.nullif(F.col("_c"), F.lit("")))
-    return rows.withColumn("_c", compact).select(
-        "q", F.coalesce(answer, F.lit(NO_ANSWER)).alias("answer"), F.coalesce(key, F.lit(NO_SOURCE)).alias("source"))
+    chosen = docs.select(key, text).join(best.select(key).distinct(), key, "left_semi")
+    pieces = F.filter(F.transform(F.split(text, "\\n(?U:\\s*)\\n"), lambda p: strip_ws(p)), lambda p: p != "")
+    pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(strip_ws(text)))
+    parts = explode_once(chosen.select(key, pieces.alias("_p")), F.col("_p"), "p", "i").drop("_p")
+    parts = parts.withColumn("place", F.concat_ws("|", F.col(key).cast("string"), F.col("i").cast("string")))
+    words = questions.select("q", F.explode(keyword_tokens(F.col(question), distinct=False)).alias("keyword"))
+    words = words.groupBy("q", "keyword").agg(F.count("*").alias("times"))
+    counts = keyword_counts(parts, words.select("keyword"), "place", "p")
+    counts = counts.join(parts.select("place", key, "i"), "place").drop("place")
+    scored = words.join(best, "q").join(counts, [key, "keyword"]).groupBy("q", key, "i").agg(
+        F.sum(F.col("times") * F.col("n")).alias("s"))
+    picked = scored.groupBy("q").agg(F.min_by("i", F.struct((-F.col("s")).alias("s"), "i")).alias("i"))
+    answers = parts.select(key, "i", compact_answer(F.col("p")).alias("answer"))
+    place = best.join(picked, "q", "left").withColumn("i", F.coalesce("i", F.lit(0)))
+    found = place.join(answers, [key, "i"]).select("q", key, "answer")
+    return questions.select("q").join(found, "q", "left").select(
+        "q", F.coalesce("answer", F.lit(NO_ANSWER)).alias("answer"), F.coalesce(key, F.lit(NO_SOURCE)).alias("source"))
 
 
 def grade_answers(df: DataFrame, answer: str = "answer", keywords: str = "required_keywords") -> DataFrame:

@@ -120,7 +120,7 @@ rolled AS (SELECT *, CAST(CASE WHEN f_type = 0 THEN 0 ELSE greatest(1, y) END AS
 
 
 def _rolled(spark, sf):
-    return ops.damage_rolls(ops.type_multipliers(_pairs(spark, sf)))
+    return ops.with_rolls(ops.type_multipliers(_pairs(spark, sf)))
 
 
 _KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -156,7 +156,7 @@ def chain_modifiers(spark, sf):
 
 @query("damage_rolls", f"WITH {SQL_ROLLED} SELECT {', '.join(_KEYS)}, CAST(roll AS INTEGER) AS roll, dmg FROM rolled")
 def damage_rolls(spark, sf):
-    return ops.explode_rolls(_rolled(spark, sf)).select(*_KEYS, "roll", "dmg")
+    return ops.damage_rolls(ops.type_multipliers(_pairs(spark, sf))).select(*_KEYS, "roll", "dmg")
 
 
 _RULES = {"double-kick": [(2, 1.0)], "triple-axel": [(1, 1 / 3), (2, 1 / 3), (3, 1 / 3)],
