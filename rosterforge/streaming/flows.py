@@ -55,12 +55,15 @@ def ingest_batch(batch: DataFrame, target: str, formats: Iterable[str] = increme
     ids = incremental.known_keys(held, "tournament_id").withColumnRenamed("tournament_id", "known_id")
     listed = batch.withColumn("_order", F.struct("page", "pos"))
     first = listed.groupBy("id").agg(F.min_by(F.struct(*batch.columns, "_order"), "_order").alias("r")).select("r.*")
-    new = incremental.select_new_until_known(first, "_order", dates, ids, formats, strict).drop("_order", "stopped")
-    for contract, rows in (
-        ("standings", ingest.flatten_standings(new)), ("teamlists", ingest.flatten_teamlists(new)),
-        ("matches", ingest.flatten_matches(new)), ("tournaments", ingest.flatten_tournaments(new)),
-    ):
-        _append_missing(rows, paths[contract], contract)
+    new = incremental.select_new_until_known(first, "_order", dates, ids, formats, strict).drop("_order", "stopped").persist()
+    try:
+        for contract, rows in (
+            ("standings", ingest.flatten_standings(new)), ("teamlists", ingest.flatten_teamlists(new)),
+            ("matches", ingest.flatten_matches(new)), ("tournaments", ingest.flatten_tournaments(new)),
+        ):
+            _append_missing(rows, paths[contract], contract)
+    finally:
+        new.unpersist()
 
 
 def ingest_stream(spark: SparkSession, landing: str, target: str, checkpoint: str,
