@@ -205,12 +205,12 @@ def _tag_boxes(spark, sf):
     li = table(spark, sf, "lineitem")
     part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     return li.select(
-        F.col("l_orderkey").alias("item"), (part * 1000 + supp).alias("pos"), tag_at((part + line) % 12).alias("tag"),
+        F.col("l_orderkey").alias("item"), (part * 10000 + supp * 10 + line).alias("pos"), tag_at((part + line) % 12).alias("tag"),
         ((part * 7 + supp * 3) % 41 / 100 + 0.6).alias("confidence"), ((part + supp) % 11 / 10).alias("quality"),
         (part % 60).alias("x"), (supp % 40).alias("y"), (part % 30 + 10).alias("width"), (supp % 20 + 10).alias("height"))
 
 
-@query("select_distinct_nonoverlap", f"""WITH b AS (SELECT l_orderkey AS item, l_partkey * 1000 + l_suppkey AS pos, {SQL_TAGS}[(l_partkey + l_linenumber) % 12 + 1] AS tag,
+@query("select_distinct_nonoverlap", f"""WITH b AS (SELECT l_orderkey AS item, l_partkey * 10000 + l_suppkey * 10 + l_linenumber AS pos, {SQL_TAGS}[(l_partkey + l_linenumber) % 12 + 1] AS tag,
   (l_partkey * 7 + l_suppkey * 3) % 41 / 100.0::DOUBLE + 0.6 AS c, (l_partkey + l_suppkey) % 11 / 10.0::DOUBLE AS qual,
   l_partkey % 60 AS x, l_suppkey % 40 AS y, l_partkey % 30 + 10 AS w, l_suppkey % 20 + 10 AS h FROM lineitem),
 s AS (SELECT *, round(c + qual * 0.12, 4) AS sc FROM b WHERE c >= 0.78),
