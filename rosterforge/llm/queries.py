@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from rosterforge.llm.decontaminate import OP5_SQL, op5
 from rosterforge.llm.embedding_pairs import OP4_SQL, op4
+from rosterforge.llm.html_text import op2
 from rosterforge.llm.mixing import OP9_SQL, op9
 from rosterforge.llm.ngram_join import OP6_SQL, op6
 from rosterforge.llm.sharding import op1
+from rosterforge.llm.toxicity import op10
+from rosterforge.llm.warc import OP3_SQL, op3
 
-QUERIES = {"op1_shuffle_shards": op1, "op4_near_vectors": op4, "op5_decontaminate": op5, "op6_ngram_join": op6, "op9_mix_sources": op9}
-ORACLES = {"op4_near_vectors": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_ngram_join": OP6_SQL, "op9_mix_sources": OP9_SQL}
+QUERIES = {"op1_shuffle_shards": op1, "op2_page_text": op2, "op3_warc_members": op3, "op4_near_vectors": op4, "op5_decontaminate": op5,
+           "op6_ngram_join": op6, "op9_mix_sources": op9, "op10_toxicity": op10}
+ORACLES = {"op3_warc_members": OP3_SQL, "op4_near_vectors": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_ngram_join": OP6_SQL, "op9_mix_sources": OP9_SQL}
