@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rosterforge.llm.shared import staged
 
@@ -29,22 +29,29 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return fits.select("source", "source_size", F.least(full, F.coalesce(F.col("level") * F.col("weight"), full)).alias("target"))
 
 
-def mix_sources(docs: DataFrame, seed: int = 9, key: str = "doc_id", text: str = "text", source: str = "source",
-                weights: tuple[int, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:
-    """(key, h, size, source, source_size, target, times) of every row: how often the mix takes it.
+def mix_hash(seed: int, key: str, text: str) -> Column:
+    """60 bits of a row's key and text."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col(text)).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def words_in(text: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def mix_plan(docs: DataFrame, seed: int = 9, key: str = "doc_id", text: str = "text", source: str = "source",
+             weights: tuple[int, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:
+    """Staged (source, source_size, target, whole, cut), a row per source: what the mix takes of it.
 
-    A source takes all rows floor(target / size) times and once more those whose 60-bit hash is below a threshold.
-    The threshold comes from histograms: words by source and leading hash bits, the bucket where the running
-    sum passes the budget, then the same within that bucket alone by the next bits. No row is sorted, and every
-    level sums before its shuffle, so a source with a third of the rows costs no more than others.
+    A source takes all rows ``whole`` = floor(target / size) times and once more those whose hash is below ``cut``.
+    The cut comes from histograms: words by source and leading hash bits, the bucket where the running sum passes
+    the budget, then the same within that bucket alone by the next bits. No row is sorted, and every level sums
+    before its shuffle, so a source with a third of the rows costs no more than others.
 
     Null text: size 0. Null sources are one source, last. Equal key and text: equal hash, taken together.
-    Rows of size 0 may be taken; they add nothing. An empty table gives no rows.
+    Rows of size 0 add nothing wherever they fall. An empty table gives no rows. Other columns are ignored.
     """
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), F.col(text)).cast("binary"))
-    narrow = staged(docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), size.alias("size"),
-                                F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("h")))
+    narrow = staged(docs.select(F.col(source).cast("string").alias("source"), words_in(text).alias("size"), mix_hash(seed, key, text).alias("h")))
     goals = source_targets(narrow, weights, share).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     goals = staged(goals.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
     # At each level a source has one open bucket: its leading bits and the words below it.
@@ -59,15 +66,25 @@ def mix_sources(docs: DataFrame, seed: int = 9, key: str = "doc_id", text: str =
     # The last bucket is one hash value: in, if that comes closer to the budget.
     closer = F.col("below") + F.col("inside") - F.col("rest") < F.col("rest") - F.col("below")
     cuts = open_.select("source", F.when(closer, F.col("bucket") + 1).otherwise(F.col("bucket")).alias("cut"))
-    plan = goals.alias("g").join(cuts.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left").select("g.*", F.coalesce("c.cut", F.lit(0)).alias("cut"))
-    return narrow.alias("n").join(plan.alias("p"), F.col("n.source").eqNullSafe(F.col("p.source"))).select(
-        F.col("id").alias(key), "h", "size", "n.source", "source_size", "target",
-        (F.col("whole") + (F.col("h") < F.col("cut")).cast("long")).alias("times"))
+    return staged(goals.alias("g").join(cuts.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left")
+                  .select("g.source", "source_size", "target", "whole", F.coalesce("c.cut", F.lit(0)).alias("cut")))
+
+
+def times_taken(docs: DataFrame, plan: DataFrame, seed: int = 9, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``docs`` with ``source_size``, ``target`` and ``times`` of each row; the plan joins by source, texts stay in place.
+
+    Input columns of these names are replaced.
+    """
+    docs = docs.drop("source_size", "target", "times")
+    told = plan.select(F.col("source").alias("__source"), "source_size", "target", "whole", "cut")
+    times = F.col("whole") + (mix_hash(seed, f"d.{key}", f"d.{text}") < F.col("cut")).cast("long")
+    return docs.alias("d").join(told, F.col(f"d.{source}").cast("string").eqNullSafe(F.col("__source"))).select("d.*", "source_size", "target", times.alias("times"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    size = words_in("text")
+    return times_taken(docs, mix_plan(docs)).select("doc_id", size.alias("size"), "source_size", "target", (size * F.col("times")).alias("taken"))
 
 
 OP9_SQL = r"""
