@@ -71,20 +71,18 @@ def mix_plan(docs: DataFrame, seed: int = 9, key: str = "doc_id", text: str = "t
 
 
 def times_taken(docs: DataFrame, plan: DataFrame, seed: int = 9, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` with ``source_size``, ``target`` and ``times`` of each row; the plan joins by source, texts stay in place.
-
-    Input columns of these names are replaced.
-    """
-    docs = docs.drop("source_size", "target", "times")
-    told = plan.select(F.col("source").alias("__source"), "source_size", "target", "whole", "cut")
-    times = F.col("whole") + (mix_hash(seed, f"d.{key}", f"d.{text}") < F.col("cut")).cast("long")
-    return docs.alias("d").join(told, F.col(f"d.{source}").cast("string").eqNullSafe(F.col("__source"))).select("d.*", "source_size", "target", times.alias("times"))
+    """All columns of ``docs``, and ``__source_size``, ``__target`` and ``__times`` of each row; the plan joins by source, texts stay in place."""
+    told = plan.toDF("__source", "__source_size", "__target", "__whole", "__cut")
+    times = F.col("__whole") + (mix_hash(seed, f"d.{key}", f"d.{text}") < F.col("__cut")).cast("long")
+    met = docs.alias("d").join(told, F.col(f"d.{source}").cast("string").eqNullSafe(F.col("__source")))
+    return met.select("d.*", "__source_size", "__target", times.alias("__times"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     size = words_in("text")
-    return times_taken(docs, mix_plan(docs)).select("doc_id", size.alias("size"), "source_size", "target", (size * F.col("times")).alias("taken"))
+    return times_taken(docs, mix_plan(docs)).select(
+        "doc_id", size.alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (size * F.col("__times")).alias("taken"))
 
 
 OP9_SQL = r"""
