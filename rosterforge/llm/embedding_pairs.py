@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from rosterforge.llm.shared import connected_components, staged
+from rosterforge.llm.shared import cells_of, connected_components, in_blocks, staged
 
 BANDS, BAND_BITS = 32, 12
 BLOCK_ROWS = 1024
@@ -58,25 +58,26 @@ def _links_of_cell(ids, n, side, vectors, codes, band, threshold, turn):
     factor = (np.abs(rotated).sum(axis=1) / np.sqrt(width))  # inner product of a vector and its own code
     estimate = (signs[a] / np.sqrt(width)) @ rotated[b].T.astype(np.float32) / factor[a, None]
     error = BOUND * np.sqrt(np.maximum(0, 1 - factor[a] ** 2) / factor[a] ** 2 / max(1, width - 1))
-    i, j = np.nonzero(estimate + error[:, None] >= threshold)
-    i, j = a[i], b[j]
+    met = estimate + error[:, None] >= threshold
     if (side == 0).all():
-        i, j = i[i < j], j[i < j]
+        met |= met.T
+        np.fill_diagonal(met, False)
     # A pair that meets in several bands counts in the first one.
-    keys = np.unpackbits(codes, axis=1)[:, :BANDS * BAND_BITS].reshape(len(ids), BANDS, BAND_BITS)[:, :band] @ (1 << np.arange(BAND_BITS))
-    hit_i, hit_j = [], []
-    for at in range(0, len(i), 65536):
-        p, q = i[at:at + 65536], j[at:at + 65536]
-        near = np.einsum("ij,ij->i", units[p], units[q]) >= threshold
-        p, q = p[near], q[near]
-        fresh = ~(keys[p] == keys[q]).any(axis=1) if band else np.ones(len(p), bool)
-        hit_i.append(p[fresh])
-        hit_j.append(q[fresh])
-    i, j = (np.concatenate(x) if x else np.empty(0, int) for x in (hit_i, hit_j))
-    links = np.zeros(len(ids), np.int64)
-    np.add.at(links, i, n[j])
-    np.add.at(links, j, n[i])
-    low = ids.copy()
+    if band and met.any():
+        keys = (np.unpackbits(codes, axis=1)[:, :BANDS * BAND_BITS].reshape(len(ids), BANDS, BAND_BITS)[:, :band] @ (1 << np.arange(BAND_BITS))).astype(np.int16)
+        for earlier in range(band):
+            met &= keys[a, earlier][:, None] != keys[b, earlier][None, :]
+    i, j = np.nonzero(met)
+    if len(i) * 16 > met.size:
+        met &= units[a] @ units[b].T >= threshold
+    else:
+        met[i, j] = np.einsum("ij,ij->i", units[a[i]], units[b[j]]) >= threshold
+    links, low = np.zeros(len(ids), np.int64), ids.copy()
+    links[a] += met @ n[b]
+    if not (side == 0).all():
+        links[b] += met.T @ n[a]
+    i, j = np.nonzero(met)
+    i, j = a[i], b[j]
     while len(i):
         before = low.copy()
         both = np.minimum(low[i], low[j])
@@ -90,39 +91,28 @@ def _links_of_cell(ids, n, side, vectors, codes, band, threshold, turn):
 
 def _met(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by cell; a cell may run over several batches and holds two blocks at most."""
         turned: dict[int, np.ndarray] = {}
-        kept: list[pa.RecordBatch] = []
+        found: list[list[np.ndarray]] = [[], [], []]
 
-        def cells(table: pa.Table):
-            at = np.stack([table.column(c).to_numpy() for c in ("cell", "i", "j")])
-            cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
-            return [0, *cuts.tolist(), table.num_rows]
+        def batch_of() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in found], ["id", "links", "low"])
+            for x in found:
+                x.clear()
+            return made
 
-        def solve(table: pa.Table, cuts: list[int]):
-            found = [[], [], []]
-            sizes = np.diff(cuts)
+        for table in cells_of(batches, "cell"):
+            if table.num_rows < 2:
+                continue
             ids, n, side, band = (table.column(c).to_numpy() for c in ("id", "n", "side", "band"))
-            vectors, codes = table.column("vector").combine_chunks(), table.column("code").combine_chunks()
-            for k in np.flatnonzero(sizes > 1).tolist():
-                lo, hi = cuts[k], cuts[k + 1]
-                width = len(vectors[lo])
-                turn = turned.setdefault(width, rotations(width))
-                code = np.frombuffer(b"".join(codes.slice(lo, hi - lo).to_pylist()), np.uint8).reshape(hi - lo, -1)
-                for out, part in zip(found, _links_of_cell(ids[lo:hi], n[lo:hi], side[lo:hi], _matrix(vectors.slice(lo, hi - lo), width), code, int(band[lo]), threshold, turn), strict=True):
-                    out.append(part)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in found], ["id", "links", "low"])
-
-        for batch in batches:
-            kept.append(batch)
-            table = pa.Table.from_batches(kept)
-            cuts = cells(table)
-            if len(cuts) > 2:
-                yield solve(table.slice(0, cuts[-2]), cuts[:-1])
-                kept = table.slice(cuts[-2]).combine_chunks().to_batches()
-        if kept:
-            table = pa.Table.from_batches(kept)
-            yield solve(table, cells(table))
+            vectors = table.column("vector").combine_chunks()
+            width = len(vectors[0])
+            turn = turned.setdefault(width, rotations(width))
+            code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            for out, part in zip(found, _links_of_cell(ids, n, side, _matrix(vectors, width), code, int(band[0]), threshold, turn), strict=True):
+                out.append(part)
+            if len(found[0]) >= 2048:
+                yield batch_of()
+        yield batch_of()
     return run
 
 
@@ -150,10 +140,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id
     coded = staged(heads.mapInArrow(_coded, "id long, label long, n long, vector array<double>, code binary, bands array<int>"))
     spread = coded.select("id", "n", "vector", "code", "label", F.posexplode("bands").alias("band", "bits")) \
         .withColumn("cell", F.xxhash64("label", F.size("vector"), "band", "bits")).drop("label", "bits")
-    crowds = spread.groupBy("cell").agg(F.count("*").alias("rows")).where("rows > 1").withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")).select("cell", "blocks")
-    dealt = spread.join(crowds, "cell").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "id", "n", "vector", "code", "band")
-    met = staged(dealt.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_met(threshold), "id long, links long, low long"))
+    met = staged(in_blocks(spread, "cell", BLOCK_ROWS).mapInArrow(_met(threshold), "id long, links long, low long"))
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     joined = connected_components(met.select(F.col("id").alias("a"), F.col("low").alias("b")))
     members = classed.withColumn("class", F.xxhash64("label", "sum"))

@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rosterforge.llm.shared import WordHashes, connected_components, mix, shingle_set, space_words, staged
+from rosterforge.llm.shared import WordHashes, cells_of, connected_components, in_blocks, mix, shingle_set, space_words, staged
 
 BAND_RATIO = 1.25
-STAR_ROUNDS = 3
-SKETCH_WORDS = 32  # 2,048 parity bits for the check of candidates
+BLOCK_ROWS = 1024
+SKETCH_WORDS = 16  # 1,024 parity bits for the check of candidates
+BROADCAST_IDS = 1_000_000  # ids of documents to read again, 8 bytes each; more of them meet the texts by a shuffle
 
 
 def band_starts(largest: int) -> list[int]:
@@ -70,82 +71,143 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _sets(docs: DataFrame, size: int, percent: int, full: bool) -> DataFrame:
-    """Per row: n and two set digests with join keys, or (``full``) the hashed set and its parity bits."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                piece = batch.slice(at, 1024)
-                sets = [shingle_set(space_words(t.as_py()), size, hashes) for t in piece.column("text")]
-                ids, n = piece.column("id"), pa.array([len(s) for s in sets], pa.int64())
-                if full:
-                    yield pa.RecordBatch.from_arrays([ids, n, _lists(sets), _lists([parity_bits(s).view(np.uint64) for s in sets])], ["id", "n", "tokens", "bits"])
-                    continue
-                sums = [np.array([f(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64) for f in (lambda s: np.bitwise_xor.reduce(s), lambda s: mix(s).sum(dtype=np.uint64))]
-                yield pa.RecordBatch.from_arrays([ids, n, pa.array(sums[0]), pa.array(sums[1]), _lists([sketch_keys(s, percent) for s in sets])], ["id", "n", "x", "s", "keys"])
+def _sets(docs: DataFrame, size: int) -> Iterator:
+    """Batches of at most 1,024 rows as (ids, shingle sets); the hash table lives as long as the task."""
+    hashes = WordHashes()
+    for batch in docs:
+        for at in range(0, batch.num_rows, 1024):
+            piece = batch.slice(at, 1024)
+            yield piece.column("id"), [shingle_set(space_words(t.as_py()), size, hashes) for t in piece.column("text")]
+
 
-    kind = "id long, n long, tokens array<long>, bits array<long>" if full else "id long, n long, x long, s long, keys array<long>"
-    return docs.select("id", "text").mapInArrow(run, kind)
+def _digest(tokens: np.ndarray) -> tuple[int, int]:
+    return (int(np.bitwise_xor.reduce(tokens)), int(mix(tokens).sum(dtype=np.uint64))) if len(tokens) else (0, 0)
+
+
+def _described(docs: DataFrame, size: int) -> DataFrame:
+    """(id, n, x, s, bits) per row: size, two digests and parity bits of the set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _sets(batches, size):
+            digests = np.array([_digest(s) for s in sets], np.uint64).view(np.int64).reshape(-1, 2)
+            bits = _lists([parity_bits(s).view(np.uint64) for s in sets])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), bits], ["id", "n", "x", "s", "bits"])
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, x long, s long, bits array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct (a, b): those whose sets reach the similarity. The parity bits go first, the sets after."""
-    small = sets.select("id", "n", "bits")
-    both = pairs.join(small.toDF("a", "na", "bits_a"), "a").join(small.toDF("b", "nb", "bits_b"), "b")
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    likely = both.where(apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b", "na", "nb")
-    full = sets.select("id", "tokens")
-    met = likely.join(full.toDF("a", "tokens_a"), "a").join(full.toDF("b", "tokens_b"), "b")
-    shared = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
-    return met.select("a", "b", (shared * 100 >= (F.col("na") + F.col("nb") - shared) * percent).alias("linked"))
+def _keyed(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, keys) per row. A task writes keys for the first row it sees of equal sets; the others share its fate by digest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for ids, sets in _sets(batches, size):
+            fresh = []
+            for tokens in sets:
+                mark = _digest(tokens)
+                fresh.append(mark not in seen)
+                seen.add(mark)
+            if len(seen) > 200_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([ids, _lists([sketch_keys(s, percent) if f else s[:0] for s, f in zip(sets, fresh, strict=True)])], ["id", "keys"])
+    return docs.select("id", "text").mapInArrow(run, "id long, keys array<long>")
+
+
+def _tokens(docs: DataFrame, size: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _sets(batches, size):
+            yield pa.RecordBatch.from_arrays([ids, _lists(sets)], ["id", "tokens"])
+    return docs.select("id", "text").mapInArrow(run, "id long, tokens array<long>")
+
+
+def _near_pairs(table: pa.Table, percent: int):
+    """Pairs of a cell that sizes and parity bits let through: places, nearest first."""
+    n, side = (table.column(c).to_numpy() for c in ("n", "side"))
+    bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), SKETCH_WORDS)
+    a, b = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
+    found = []
+    for at in range(0, len(a), 64):
+        p = a[at:at + 64]
+        apart = np.bitwise_count(bits[p, None, :] ^ bits[None, b, :]).sum(axis=2, dtype=np.int64)
+        ok = apart * (100 + percent) <= (n[p, None] + n[None, b]) * (100 - percent)
+        if (side == 0).all():
+            ok &= p[:, None] < b[None, :]
+        i, j = np.nonzero(ok)
+        found.append(np.stack([apart[i, j], p[i], b[j]]))
+    met = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+    return met[1:, np.argsort(met[0], kind="stable")]
+
+
+def _forest(percent: int, key: str, exact: bool):
+    """A spanning forest of the pairs of each cell that the parity bits let through and, if ``exact``, whose sets qualify.
+
+    Sets are compared only for pairs that no earlier link of the cell joins; at most one edge per row leaves.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list[int], list[int]] = ([], [])
+        for table in cells_of(batches, key):
+            if table.num_rows < 2:
+                continue
+            ids, n = table.column("id").to_numpy(), table.column("n").to_numpy()
+            root = list(range(len(ids)))
+            column = table.column("tokens").combine_chunks() if exact else None
+            sets: dict[int, np.ndarray] = {}
+
+            def find(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for i, j in _near_pairs(table, percent).T.tolist():
+                x, y = find(i), find(j)
+                if x == y:
+                    continue
+                if exact:
+                    for p in (i, j):
+                        if p not in sets:
+                            sets[p] = column[p].values.to_numpy()
+                    shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if shared * 100 < int(n[i] + n[j] - shared) * percent:
+                        continue
+                root[y] = x
+                out[0].append(int(ids[i]))
+                out[1].append(int(ids[j]))
+            if len(out[0]) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+                out = ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+    return run
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) per row: sets of ``size``-word shingles link when Jaccard * 100 >= ``percent``.
 
     Equal sets become one class. Each class meets others on the words of its parity sketch, per size band, which by
-    pigeonhole finds every qualifying pair. Whoever shares a word is compared with one hub of the bucket, other hubs
-    follow where components still differ, and at last every untested pair across components in a bucket is
-    compared, so no link that joins two components is missed while a group of copies costs stars, not all pairs.
+    pigeonhole finds every qualifying pair. Whoever shares a word is compared by parity bits, in blocks; what these let
+    through forms clusters, in which the sets themselves are compared, in blocks as well. Only a forest of links leaves a
+    task, so the pairs of a group are never written and no link between groups is missed.
 
     Null and empty texts have no shingles and link with nothing. Rows with a null key keep a null component. Rows that
     repeat a key give one row each and one text's links hold for all of them. An empty table gives no rows.
     """
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    made = staged(_sets(docs, size, percent, False))
-    classes = made.where("id IS NOT NULL AND n > 0").groupBy("n", "x", "s").agg(F.min("id").alias("rep"))
-    heads = made.join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").where("n > 0")
+    made = staged(_described(docs, size))
+    known = made.where("id IS NOT NULL AND n > 0").select("id", "n", "bits").dropDuplicates(["id"])
     shared = Window.partitionBy("k")
-    rows = heads.select("id", F.explode("keys").alias("k")).withColumn("lo", F.min("id").over(shared)).withColumn("hi", F.max("id").over(shared))
-    live = staged(rows.where("lo <> hi").select("k", "id"))
-    sets = staged(_sets(docs.join(live.select("id").distinct(), "id", "left_semi"), size, percent, True).dropDuplicates(["id"]))
-
-    tested, label = None, live.select("id", F.col("id").alias("component")).distinct()
-    for turn in range(STAR_ROUNDS + 1):
-        named = live.join(label, "id")
-        if turn:
-            named = named.withColumn("first", F.min("component").over(shared)).withColumn("last", F.max("component").over(shared)).where("first <> last")
-            if named.isEmpty():
-                break
-        named = named.select("k", "id", "component")
-        if turn < STAR_ROUNDS:
-            order = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")
-            met = named.withColumn("hub", F.min(F.struct(order.alias("o"), F.col("id").alias("id"), F.col("component").alias("component"))).over(shared)) \
-                .where("hub.component <> component").select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b"))
-        else:
-            met = named.alias("x").join(named.alias("y"), "k").where("x.component < y.component").select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        met = met.distinct()
-        if tested is not None:
-            met = met.join(tested, ["a", "b"], "left_anti")
-        result = staged(_verified(met, sets, percent))
-        # A pair that the parity bits reject is not in ``result``; it is rejected again as cheaply if met again.
-        tested = result if tested is None else tested.unionByName(result)
-        found = connected_components(tested.where("linked"))
-        label = staged(live.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
-
-    named = classes.join(label, classes["rep"] == label["id"], "left").select("n", "x", "s", F.coalesce("component", "rep").alias("component_id"))
-    out = made.drop("keys").join(named, ["n", "x", "s"], "left")
+    rows = _keyed(docs.where("id IS NOT NULL"), size, percent).select("id", F.explode("keys").alias("k"))
+    live = staged(rows.withColumn("lo", F.min("id").over(shared)).withColumn("hi", F.max("id").over(shared)).where("lo <> hi").select("k", "id"))
+    # Buckets compare parity bits alone. What they let through forms clusters, close to the true groups.
+    met = staged(in_blocks(live, "k", BLOCK_ROWS, known).mapInArrow(_forest(percent, "k", False), "a long, b long").distinct())
+    clusters = staged(connected_components(met).withColumnRenamed("component", "cluster"))
+    wanted = clusters.select("id")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    sets = staged(_tokens(docs.join(wanted, "id", "left_semi"), size).dropDuplicates(["id"]).join(known, "id"))
+    linked = staged(in_blocks(clusters, "cluster", BLOCK_ROWS, sets).mapInArrow(_forest(percent, "cluster", True), "a long, b long"))
+    groups = connected_components(linked)
+    # Equal sets are one class; its component is the smallest id that any member reaches.
+    classes = made.where("id IS NOT NULL AND n > 0").join(groups, "id", "left").groupBy("n", "x", "s").agg(F.min("id").alias("rep"), F.min(F.coalesce("component", "id")).alias("component"), F.max("component").alias("group"))
+    lowest = classes.groupBy(F.coalesce("group", "rep").alias("of")).agg(F.min("component").alias("component_id"))
+    named = classes.withColumn("of", F.coalesce("group", "rep")).join(lowest, "of").select("n", "x", "s", "component_id")
+    few = named.join(made.where("n > 0").groupBy("n", "x", "s").agg(F.count("*").alias("rows"), F.min("id").alias("rep")), ["n", "x", "s"]).where("rows > 1 OR component_id <> rep").drop("rows", "rep")
+    out = made.drop("bits").join(few, ["n", "x", "s"], "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 

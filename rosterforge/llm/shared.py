@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -108,7 +109,36 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def rows_of(batches: Iterable, *names: str):
-    """Python tuples of the named columns, batch by batch."""
+def in_blocks(rows: DataFrame, key: str, block_rows: int, carried: DataFrame | None = None) -> DataFrame:
+    """Deal the rows of each ``key`` so that all pairs meet while no task holds more than two blocks.
+
+    A key with more than ``block_rows`` rows is cut into blocks by a hash of ``id``; each row goes to every cell (i, j) of
+    its block. ``side`` is 0 within one block, else it tells the two blocks apart. Keys with one row are left out.
+    ``carried`` (one row per ``id``) joins after the dealing, so that its columns cross the cluster once.
+    """
+    crowds = rows.groupBy(key).agg(F.count("*").alias("__rows")).where("__rows > 1").select(key, F.ceil(F.col("__rows") / block_rows).cast("int").alias("__blocks"))
+    own = F.pmod(F.xxhash64("id", F.lit(1)), "__blocks").cast("int")
+    dealt = rows.join(crowds, key).withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    placed = dealt.withColumn("i", F.least("__own", "__other")).withColumn("j", F.greatest("__own", "__other")).withColumn("side", F.signum(F.col("__own") - F.col("__other")).cast("int"))
+    placed = placed.drop("__own", "__other", "__blocks")
+    if carried is not None:
+        placed = placed.join(carried, "id")
+    return placed.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
+
+
+def cells_of(batches: Iterable[pa.RecordBatch], key: str):
+    """Tables of the cells of ``in_blocks``, in the order they come; a cell may run over several batches."""
+    kept: list[pa.RecordBatch] = []
+
+    def cuts(table: pa.Table) -> list[int]:
+        at = np.stack([table.column(c).to_numpy() for c in (key, "i", "j")])
+        return [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
+
     for batch in batches:
-        yield list(zip(*(batch.column(n).to_pylist() for n in names), strict=True))
+        table = pa.Table.from_batches([*kept, batch])
+        ends = cuts(table)
+        for lo, hi in zip(ends[:-2], ends[1:-1], strict=True):
+            yield table.slice(lo, hi - lo)
+        kept = table.slice(ends[-2]).combine_chunks().to_batches()
+    if kept:
+        yield pa.Table.from_batches(kept)
