@@ -67,7 +67,7 @@ def mix_plan(docs: DataFrame, seed: int = 9, key: str = "doc_id", text: str = "t
     closer = F.col("below") + F.col("inside") - F.col("rest") < F.col("rest") - F.col("below")
     cuts = open_.select("source", F.when(closer, F.col("bucket") + 1).otherwise(F.col("bucket")).alias("cut"))
     return staged(goals.alias("g").join(cuts.alias("c"), F.col("g.source").eqNullSafe(F.col("c.source")), "left")
-                  .select("g.source", "source_size", "target", "whole", F.coalesce("c.cut", F.lit(0)).alias("cut")))
+                  .select("g.source", "source_size", "target", "whole", F.when(F.col("g.rest") > 0, F.coalesce("c.cut", F.lit(0))).otherwise(0).alias("cut")))
 
 
 def times_taken(docs: DataFrame, plan: DataFrame, seed: int = 9, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
