@@ -42,7 +42,7 @@ def alternate_names(value: Column, aliases: Mapping[str, str] = NAME_ALIASES,
     name = strip_ws(F.coalesce(value, F.lit("")))
     candidates = [name]
     for prefix, suffix in regional.items():
-        rest = F.substring(name, len(prefix) + 1, 100000)
+        rest = F.substr(name, F.lit(len(prefix) + 1))
         candidates.append(F.when(name.startswith(prefix), F.concat(rest, F.lit(suffix))))
     words = F.split(name, "\\s+")
     swap = (F.size(words) == 2) & F.get(words, F.lit(0)).isin(*SWAPPED_FORMS) & (

@@ -36,6 +36,11 @@ DOC_BLOCK = 512
 QUESTION_SLICE = 1024
 
 
+def piece_size(size: int) -> int:
+    """Pieces long enough that a window of ``size`` and the search behind it span three at most."""
+    return max(PIECE, size + SPACE_SEARCH)
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside an expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -66,8 +71,9 @@ def chunk_spans(text: Column, size: int, overlap: int) -> Column:
     step = floor + 2 - overlap
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
-    if step <= 0 or size + SPACE_SEARCH > PIECE:
-        raise ValueError("overlap leaves no sure advance, or size exceeds the piece window")
+    if step <= 0:
+        raise ValueError("overlap leaves no sure advance")
+    piece = piece_size(size)
     span = "array<struct<start:int,end:int>>"
 
     def walk(pieces: Column, length: Column) -> Column:
@@ -88,28 +94,28 @@ def chunk_spans(text: Column, size: int, overlap: int) -> Column:
                     inside = ~ahead.rlike(f"(?U)^{SPACE}")
                     return F.when((back > 0) & inside & (blank > 0), back + blank).otherwise(back)
 
-                following = bind(piece_window(pieces, back, SPACE_SEARCH), settle)
+                following = bind(piece_window(pieces, back, SPACE_SEARCH, piece), settle)
                 item = F.struct(start.alias("start"), end.alias("end"))
                 return F.struct(
                     following.cast("int").alias("start"), (end >= length).alias("done"),
                     F.concat(state["spans"], F.array(item)).cast(span).alias("spans"))
 
-            return F.when(state["done"], state).otherwise(bind(piece_window(pieces, start, size), from_window))
+            return F.when(state["done"], state).otherwise(bind(piece_window(pieces, start, size, piece), from_window))
 
         initial = F.struct(F.lit(0).alias("start"), (length == 0).alias("done"), F.array().cast(span).alias("spans"))
         steps = F.sequence(F.lit(1), F.ceil(length / step).cast("int") + 1)
         return F.aggregate(steps, initial, next_state, lambda s: s["spans"])
 
-    return bind(text_pieces(text), lambda pieces: bind(F.length(text), lambda n: walk(pieces, n)))
+    return bind(text_pieces(text, piece), lambda pieces: bind(F.length(text), lambda n: walk(pieces, n)))
 
 
 def split_text(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Array of non-empty stripped chunks."""
     def cut(pieces: Column) -> Column:
         return F.transform(chunk_spans(text, size, overlap), lambda s: strip_ws(
-            piece_window(pieces, s["start"], s["end"] - s["start"])))
+            piece_window(pieces, s["start"], s["end"] - s["start"], piece_size(size))))
 
-    return F.filter(bind(text_pieces(text), cut), lambda c: c != "")
+    return F.filter(bind(text_pieces(text, piece_size(size)), cut), lambda c: c != "")
 
 
 def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,

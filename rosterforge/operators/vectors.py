@@ -563,11 +563,10 @@ def prune_counts(index: DataFrame, allow: Sequence[str] = (), filenames: Sequenc
 def cap_per_class(files: DataFrame, n: int, seed: int, label: str = "label", path: str = "path", salts: int = 64) -> DataFrame:
     """At most ``n`` distinct paths per label in seeded hash order.
 
-    A large ``n`` is cut per (label, salt) first, so a dominant label is never sorted in one task.
+    Rows are cut per (label, salt) first, so a dominant label is never sorted in one task.
     """
     rows = files.select(label, path).distinct().withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), path)))
     order = [F.asc("_h"), F.asc(path)]
-    if n > 1000:
-        rows = rows.withColumn("_s", F.pmod(F.xxhash64(path), F.lit(salts)))
-        rows = top_k_per_key(rows, [label, "_s"], order, n).drop("_s", "rank")
+    rows = rows.withColumn("_s", F.pmod(F.xxhash64(path), F.lit(salts)))
+    rows = top_k_per_key(rows, [label, "_s"], order, n).drop("_s", "rank")
     return top_k_per_key(rows, [label], order, n).drop("_h", "rank")

@@ -10,13 +10,11 @@ from rosterforge.plans.registry import query
 from rosterforge.plans.standins import (
     SQL_ENTITIES, SQL_TAGS, STATS, entities, table, tag_at,
 )
-from rosterforge.session import spread
 
 _NATURE_NAMES = ["hardy", *B.NATURES]
 SQL_NATURES = "(VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(_NATURE_NAMES)) + ") nat(i, nature)"
 SQL_EFFECTS = "(VALUES " + ", ".join(f"('{n}', '{u}', '{d}')" for n, (u, d) in B.NATURES.items()) + ") eff(nature, up, down)"
-SQL_CHART = "chart(a, d, f) AS (VALUES " + ", ".join(
-    f"('{a}', '{d}', {f})" for a, groups in B.CHART.items() for names, f in zip(groups, (2.0, 0.5, 0.0)) for d in names) + ")"
+SQL_CHART = "chart(a, d, f) AS (VALUES " + ", ".join(f"('{a}', '{d}', {f})" for a, d, f in B.CHART) + ")"
 
 
 def _natured(spark, sf):
@@ -83,7 +81,7 @@ def stat_total(spark, sf):
 
 def _pairs(spark, sf):
     """Line items as attacks: the part attacks, the supplier number shapes the defender."""
-    li = spread(table(spark, sf, "lineitem"))
+    li = table(spark, sf, "lineitem")
     part, supp, line = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     types = F.array_distinct(F.array(tag_at(supp % 18), tag_at((supp * 7 + 3) % 18)))
     return li.select(
@@ -254,7 +252,7 @@ def hazard_and_residual(spark, sf):
 
 
 def _fighters(spark, sf):
-    e = spread(entities(spark, sf))
+    e = entities(spark, sf)
     key = F.col("pos")
     moves = F.array(*[F.struct(
         F.concat(F.lit(f"m{i}-"), F.get("types", F.lit(0))).alias("move"), tag_at((key * (i + 2) + i) % 18).alias("move_type"),
@@ -326,7 +324,7 @@ SQL_CHANCE = f"""{SQL_ENTITIES}, ds AS (SELECT pos AS k, hp + 100 AS hp, CAST(sp
 
 def _chances(spark, sf, n):
     rolls = F.transform(F.sequence(F.lit(85), F.lit(100)), lambda r: B.long_floor((F.col("attack") + 10) * (r / 100)))
-    rows = spread(entities(spark, sf)).select("pos", (F.col("hp") + 100).alias("hp"), (F.col("speed") % 21 - 10).alias("eot"), rolls.alias("rolls"))
+    rows = entities(spark, sf).select("pos", (F.col("hp") + 100).alias("hp"), (F.col("speed") % 21 - 10).alias("eot"), rolls.alias("rolls"))
     return ops.ko_chance_n_hits(rows, n, residual="eot").select("pos", "ko_ways")
 
 

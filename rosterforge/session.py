@@ -36,29 +36,28 @@ def build_session(app: str = "rosterforge", master: str | None = None,
 def durable_checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
 
-    The folder comes from the session; a private one is used only where the
-    session names none, as on a developer machine.
+    The folder comes from the session; see ``shared_base``.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get(CHECKPOINT_CONF) or tempfile.mkdtemp(prefix="rosterforge-ckpt-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def staging_dir(spark: SparkSession, name: str) -> str:
-    """A fresh shared folder for tables a job writes and reads back."""
-    base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if base:
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return f"{tempfile.mkdtemp(prefix='rosterforge-')}/{name}"
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the session names for data all executors read.
 
+    A local session without one gets a private folder, once; on a cluster its absence is an error.
+    """
+    base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="rosterforge-")
+        spark.conf.set(CHECKPOINT_CONF, base)
+    return base.rstrip("/")
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance an input of very few files before CPU-heavy projections.
 
-    A table with fewer files than task slots would leave most of them idle; with more files
-    this is the identity and adds no shuffle.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if 0 < len(df.inputFiles()) < slots else df
+def staging_dir(spark: SparkSession, name: str) -> str:
+    """A fresh shared folder for tables a job writes and reads back."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
