@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from rosterforge.llm.shared import WordHashes, mix, staged
+from rosterforge.llm.shared import WordHashes, connected_components, in_blocks, mix, staged
 
 BUCKETS = 1 << 20  # of the table of token counts, whatever the vocabulary
 PIECE = 512
+BLOCK_ROWS = 1024
+PAIRS, TOKENS = 1 << 19, 1 << 21  # pairs and tokens that a task compares at a time
 LAST = (1 << 63) - 1
 
 
@@ -80,8 +83,18 @@ def prefix_length(n: np.ndarray, tenths: int) -> np.ndarray:
     return n + (-n * tenths) // 10 + 1
 
 
+def _parity(ids: np.ndarray, line: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Parity bits per line, as many as a power of two from 256 on that is no less than its tokens, in 64-bit words."""
+    words = np.maximum(4, 1 << np.ceil(np.log2(np.maximum(n, 1) / 64)).clip(0).astype(np.int64))
+    ends = np.cumsum(words)
+    bit = (mix(ids) % (64 * words[line]).astype(np.uint64)).astype(np.int64)
+    flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
+    np.bitwise_xor.at(flat, (ends - words)[line] + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.view(np.int64)))
+
+
 def _lines(docs: DataFrame, counts, tenths: int) -> DataFrame:
-    """(doc, line, c, n, prefix, places) per line with words; the prefix only where the task sees the set first."""
+    """(doc, line, c, n, prefix, places, bits) per line with words; the last three only where the task sees the set first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table, seen_sets = WordHashes(), counts.value, set()
         for batch in batches:
@@ -96,13 +109,14 @@ def _lines(docs: DataFrame, counts, tenths: int) -> DataFrame:
                     seen_sets.clear()
                 fresh = np.array([not (k in seen_sets or seen_sets.add(k)) for k in c.tolist()], bool)
                 use = (place < prefix_length(n, tenths)[line]) & (seen > 1) & fresh[line]
+                asks = np.bincount(line[use], minlength=len(sizes)) > 0
+                bits = _parity(ids, line, n)
                 doc = np.repeat(piece.column("doc").to_numpy(zero_copy_only=False), lines)
                 number = np.concatenate([np.arange(k) for k in lines]) if lines else np.empty(0, np.int64)
-                full = n > 0
                 made = pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int64()), pa.array(c), pa.array(n, pa.int64()), _grouped(ids[use].view(np.int64), line[use], len(sizes), pa.int64()),
-                                                   _grouped(place[use], line[use], len(sizes), pa.int64())], ["doc", "line", "c", "n", "prefix", "places"])
-                yield made.filter(pa.array(full))
-    return docs.select("doc", "text").mapInArrow(run, "doc long, line long, c long, n long, prefix array<long>, places array<long>")
+                                                   _grouped(place[use], line[use], len(sizes), pa.int64()), pc.if_else(pa.array(asks), bits, pa.scalar(None, bits.type))], ["doc", "line", "c", "n", "prefix", "places", "bits"])
+                yield made.filter(pa.array(n > 0))
+    return docs.select("doc", "text").mapInArrow(run, "doc long, line long, c long, n long, prefix array<long>, places array<long>, bits array<long>")
 
 
 def _line_sets(docs: DataFrame) -> DataFrame:
@@ -119,13 +133,144 @@ def _line_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "c long, tokens array<long>")
 
 
+def _whole_cells(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole cells of ``in_blocks`` and where each cell begins, closed by the number of rows."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        table = pa.Table.from_batches([*kept, batch])
+        at = np.stack([table.column(c).to_numpy() for c in (key, "i", "j")])
+        ends = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
+        if len(ends):
+            yield table.slice(0, int(ends[-1])), np.concatenate([[0], ends])
+        kept = table.slice(int(ends[-1]) if len(ends) else 0).combine_chunks().to_batches()
+    if kept:
+        table = pa.Table.from_batches(kept)
+        yield table, np.array([0, table.num_rows])
+
+
+def _listed(table: pa.Table, name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, begin of each row's values) of a list column."""
+    column = table.column(name).combine_chunks()
+    sizes = pc.list_value_length(column).to_numpy().astype(np.int64)
+    return column.flatten().to_numpy().view(kind), np.cumsum(sizes) - sizes
+
+
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each span, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def _chunks(weight: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges whose weights sum to about ``most``."""
+    total = np.cumsum(weight)
+    cuts = np.unique(np.searchsorted(total, np.arange(most, int(total[-1]) if len(total) else 0, most), "left") + 1)
+    edges = np.unique(np.concatenate([[0], cuts, [len(weight)]]))
+    yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
+def _lowest(rows: int, i: np.ndarray, j: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The smallest row that each row reaches over the links (i, j) and over those that ``low`` stands for."""
+    i, j = np.concatenate([i, np.arange(rows)]), np.concatenate([j, low])
+    while True:
+        before = low.copy()
+        both = np.minimum(low[i], low[j])
+        np.minimum.at(low, i, both)
+        np.minimum.at(low, j, both)
+        low = low[low]
+        if (before == low).all():
+            return low
+
+
+def _likely(tenths: int):
+    """(a, b): each line class of a cell and the first one it reaches over pairs that sizes, places and parity bits let through."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_cells(batches, "token"):
+            ids, n, place, side = (table.column(c).to_numpy() for c in ("id", "n", "place", "side"))
+            bits, begin = _listed(table, "bits", np.uint64)
+            words = np.diff(np.append(begin, len(bits)))
+            rows = len(ids)
+            later = np.repeat(starts[1:], np.diff(starts)) - np.arange(rows) - 1
+            low = np.arange(rows)
+            for lo, hi in _chunks(later, PAIRS):
+                i = np.repeat(np.arange(lo, hi), later[lo:hi])
+                j = _spans(np.arange(lo, hi) + 1, later[lo:hi])
+                both = n[i] + n[j]
+                room = np.minimum(n[i] - place[i], n[j] - place[j])
+                ok = ((side[i] == 0) | (side[i] != side[j])) & (room * (10 + tenths) >= both * tenths) & (np.minimum(n[i], n[j]) * 10 >= np.maximum(n[i], n[j]) * tenths)
+                i, j, both = i[ok], j[ok], both[ok]
+                apart = np.zeros(len(i), np.int64)
+                width = np.minimum(words[i], words[j])
+                for w in np.unique(width).tolist():
+                    of = np.flatnonzero(width == w)
+                    for a, b in _chunks(np.maximum(words[i[of]], words[j[of]]), TOKENS):
+                        part = of[a:b]
+                        apart[part] = np.bitwise_count(_folded(bits, begin, words, i[part], w) ^ _folded(bits, begin, words, j[part], w)).sum(axis=1, dtype=np.int64)
+                met = apart * (10 + tenths) <= both * (10 - tenths)
+                low = _lowest(rows, i[met], j[met], low)
+            tied = low != np.arange(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[tied]), pa.array(ids[low[tied]])], ["a", "b"])
+    return run
+
+
+def _folded(bits: np.ndarray, begin: np.ndarray, words: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
+    """Parity bits of ``rows`` in ``width`` words: the halves of a longer sketch add up to the shorter one."""
+    out = np.empty((len(rows), width), np.uint64)
+    for w in np.unique(words[rows]).tolist():
+        at = np.flatnonzero(words[rows] == w)
+        out[at] = np.bitwise_xor.reduce(bits[begin[rows[at]][:, None] + np.arange(w)].reshape(len(at), w // width, width), axis=1)
+    return out
+
+
+def _overlaps(tokens: np.ndarray, begin: np.ndarray, n: np.ndarray, kinds: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Tokens that the sets i and j share; ``tokens`` are numbered from 0 to ``kinds`` and ascend in each set."""
+    out = np.zeros(len(i), np.int64)
+    for lo, hi in _chunks(n[i] + n[j], TOKENS):
+        a, b, pair = i[lo:hi], j[lo:hi], np.arange(hi - lo)
+        ours = tokens[_spans(begin[a], n[a])] + np.repeat(pair, n[a]) * kinds
+        theirs = tokens[_spans(begin[b], n[b])] + np.repeat(pair, n[b]) * kinds
+        at = np.minimum(np.searchsorted(ours, theirs), len(ours) - 1)
+        out[lo:hi] = np.bincount(np.repeat(pair, n[b])[ours[at] == theirs], minlength=hi - lo)
+    return out
+
+
+def _later(tenths: int):
+    """(c): line classes of a cell similar to one whose first line comes earlier. A class is done with the first it finds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _whole_cells(batches, "cluster"):
+            cell = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            order = np.lexsort((table.column("fl").to_numpy(), table.column("fd").to_numpy(), cell))
+            ids, side = table.column("id").to_numpy()[order], table.column("side").to_numpy()[order]
+            values, begin = _listed(table, "tokens", np.uint64)
+            n = np.diff(np.append(begin, len(values)))[order]
+            begin = begin[order]
+            names, tokens = np.unique(values, return_inverse=True)
+            first = starts[cell]  # rows of a cell stay together when ordered
+            earlier = np.arange(len(ids)) - first
+            found = np.zeros(len(ids), bool)
+            done, step, left = 0, 1, np.flatnonzero(earlier > 0)
+            while len(left):
+                size = np.minimum(step, earlier[left] - done)
+                for lo, hi in _chunks(size, PAIRS):
+                    j = np.repeat(left[lo:hi], size[lo:hi])
+                    i = _spans(first[left[lo:hi]] + done, size[lo:hi])
+                    ok = ((side[i] == 0) | (side[i] != side[j])) & (np.minimum(n[i], n[j]) * 10 >= np.maximum(n[i], n[j]) * tenths)
+                    i, j = i[ok], j[ok]
+                    shared = _overlaps(tokens, begin, n, len(names), i, j)
+                    found[j[shared * 10 >= (n[i] + n[j] - shared) * tenths]] = True
+                done, step = done + step, 2 * step
+                left = left[~found[left] & (earlier[left] > done)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[found])], ["c"])
+    return run
+
+
 def repeated_lines(docs: DataFrame, tenths: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_lines, removed) per row: numbers of the lines similar to an earlier one, Jaccard of word sets * 10 >= ``tenths``.
 
     Lines with equal sets are one class, met by the class's first line in the order (key, line). Tokens are ordered by
     rarity, read from a table of counts of fixed size (a shared cell only makes the order less sharp, any order is
-    exact); a token that occurs once joins with nothing and is left out. Prefixes join by token under the length and
-    positional filters, candidates are compared as whole sets. A line goes if an earlier line of any document is
+    exact); a token that occurs once joins with nothing and is left out. Prefixes meet by token, in blocks, under the length
+    and positional filters and parity bits, which never part similar sets; what these let through forms clusters, where
+    whole sets are compared, in blocks as well. Pairs are never written. A line goes if an earlier line of any document is
     similar to it, removed itself or not.
 
     Null texts have no lines. Lines without words stay. Rows with a null key come last in the order; rows that repeat a key are
@@ -135,19 +280,15 @@ def repeated_lines(docs: DataFrame, tenths: int = 8, key: str = "doc_id", text:
     counts = docs.sparkSession.sparkContext.broadcast(token_counts(rows))
     lines = staged(_lines(rows, counts, tenths))
     classes = staged(lines.groupBy("c").agg(F.min(F.struct("doc", "line")).alias("first")))
-    heads = lines.where("size(prefix) > 0").select("c", "n", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("c", "n", F.col("p.prefix").alias("token"), F.col("p.places").alias("place"))
-    a, b = heads.alias("a"), heads.alias("b")
-    least = F.ceil((F.col("a.n") + F.col("b.n")) * tenths / (10.0 + tenths) - 1e-9)
-    room = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))
-    met = a.join(b, "token").where("a.c < b.c").where((F.least("a.n", "b.n") * 10 >= F.greatest("a.n", "b.n") * tenths) & (room >= least)).select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
-    met = staged(met)
-    asked = met.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes, "c").groupBy("first.doc").agg(F.collect_list("first.line").alias("wanted"))
-    sets = staged(_line_sets(rows.where("text IS NOT NULL").join(asked, "doc").select("text", "wanted")).dropDuplicates(["c"]))
-    pairs = met.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
-    shared = F.size(F.array_intersect("ta", "tb")).cast("long")
-    linked = pairs.where(shared * 10 >= (F.size("ta") + F.size("tb") - shared) * tenths).select("a", "b")
-    ends = linked.join(classes.toDF("a", "fa"), "a").join(classes.toDF("b", "fb"), "b")
-    later = ends.select(F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a")).alias("c")).distinct()
+    heads = lines.where("size(prefix) > 0").select(F.col("c").alias("id"), "n", "bits", "prefix", "places").dropDuplicates(["id"])
+    heads = staged(heads)
+    keyed = heads.select("id", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("id", F.col("p.prefix").alias("token"), F.col("p.places").alias("place"))
+    likely = in_blocks(keyed, "token", BLOCK_ROWS, heads.select("id", "n", "bits")).mapInArrow(_likely(tenths), "a long, b long").distinct()
+    clusters = staged(connected_components(likely).withColumnRenamed("component", "cluster"))
+    asked = clusters.select(F.col("id").alias("c")).join(classes, "c").groupBy("first.doc").agg(F.collect_list("first.line").alias("wanted"))
+    sets = _line_sets(rows.where("text IS NOT NULL").join(asked, "doc").select("text", "wanted")).dropDuplicates(["c"])
+    sets = staged(sets.join(classes, "c").select(F.col("c").alias("id"), "tokens", F.col("first.doc").alias("fd"), F.col("first.line").alias("fl")))
+    later = in_blocks(clusters, "cluster", BLOCK_ROWS, sets).mapInArrow(_later(tenths), "c long").distinct()
     fate = classes.join(later.withColumn("later", F.lit(True)), "c", "left").select("c", F.col("first.doc").alias("fd"), F.col("first.line").alias("fl"), F.coalesce("later", F.lit(False)).alias("later"))
     gone = lines.select("doc", "line", "c").join(fate, "c").where("later OR doc <> fd OR line <> fl").groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     size = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1).cast("long")
