@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from rosterforge.llm.shared import WordHashes, connected_components, in_blocks, mix, staged
 
-BUCKETS = 1 << 20  # of the table of token counts, whatever the vocabulary
+BUCKETS = 1 << 18  # of the table of token counts, whatever the vocabulary
 PIECE = 512
 BLOCK_ROWS = 1024
 PAIRS, TOKENS = 1 << 19, 1 << 21  # pairs and tokens that a task compares at a time
