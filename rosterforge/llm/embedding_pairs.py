@@ -66,6 +66,10 @@ def _links_of_cell(ids, n, side, vectors, codes, band, threshold, turn):
     if band and met.any():
         keys = (np.unpackbits(codes, axis=1)[:, :BANDS * BAND_BITS].reshape(len(ids), BANDS, BAND_BITS)[:, :band] @ (1 << np.arange(BAND_BITS))).astype(np.int16)
         for earlier in range(band):
+            if np.count_nonzero(met) * 16 <= met.size:
+                i, j = np.nonzero(met)
+                met[i, j] = (keys[a[i], earlier:] != keys[b[j], earlier:]).all(axis=1)
+                break
             met &= keys[a, earlier][:, None] != keys[b, earlier][None, :]
     i, j = np.nonzero(met)
     if len(i) * 16 > met.size:
