@@ -170,6 +170,26 @@ def test_archives_round_trip(spark):
     assert warc.read_records(warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
+def test_lines_in_crowded_blocks_against_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(40)]
+    seeds = [rng.sample(words, 12) for _ in range(4)] + [[f"long{k}_{i}" for i in range(700)] for k in range(2)]
+    lines = []
+    for _ in range(160):
+        line = list(rng.choice(seeds))
+        for _ in range(rng.choice([0, 1, 2, len(line) // 9, len(line) // 8])):
+            line[rng.randrange(len(line))] = rng.choice(words)
+        lines.append(" ".join(line))
+    docs = [(d, "\n".join(lines[d * 4:d * 4 + 4])) for d in range(40)]
+    sets = [set(x.split()) for x in lines]
+    gone = [any(10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) for i in range(j)) for j in range(160)]
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", 6)
+    monkeypatch.setattr(line_dedup, "PAIRS", 50)
+    monkeypatch.setattr(line_dedup, "TOKENS", 3000)
+    out = line_dedup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, k) for r in out for k in r.removed} == {(j // 4, j % 4) for j in range(160) if gone[j]}
+
+
 def test_lines_odd_rows(spark, odd):
     out = line_dedup.repeated_lines(odd)
     got = {r.doc_id: (r.n_lines, r.removed) for r in out.collect()}
