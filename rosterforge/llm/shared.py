@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -14,6 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+@functools.cache
+def _private_folder() -> str:
+    return tempfile.mkdtemp(prefix="rosterforge-llm-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder that every executor sees, below ``spark.checkpoint.dir``.
 
@@ -23,8 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not base:
         if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="rosterforge-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _private_folder()
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
