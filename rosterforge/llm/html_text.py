@@ -137,12 +137,12 @@ def best_kind(blocks: list[tuple[int, list[str]]]) -> int:
 
 
 def assembled(blocks: list[tuple[int, list[str]]], covered: set[int]) -> str:
-    """Text of the kept blocks. ``covered`` holds block numbers of an article, or start places of repeated runs of a page without one."""
+    """Text of the kept blocks. Article and main text stays whole; ``covered`` holds start places of repeated runs of a page without any."""
     best = best_kind(blocks)
     if best == DROPPED:
         return ""
     if best != OPEN:
-        return " ".join(w for i, (k, words) in enumerate(blocks) if k == best and i not in covered for w in words)
+        return " ".join(w for k, words in blocks if k >= MAIN for w in words)
     words = [w for k, part in blocks if k == OPEN for w in part]
     gone = {p for at in covered for p in range(at, at + RUN)}
     if len(gone) >= COPIED * len(words):
@@ -150,31 +150,20 @@ def assembled(blocks: list[tuple[int, list[str]]], covered: set[int]) -> str:
     return " ".join(w for i, w in enumerate(words) if i not in gone)
 
 
-def suffix_heads(host: str, blocks: list[tuple[int, list[str]]]) -> list[tuple[int, int, bool]]:
-    """(fingerprint, place or -1, boilerplate by structure) of the suffix heads of a page's token stream.
-
-    All heads of dropped and open text; of article text one head per block, the whole block, which is all that
-    can be removed there.
-    """
+def suffix_heads(host: str, blocks: list[tuple[int, list[str]]]) -> list[tuple[int, int]]:
+    """(fingerprint, place or -1) of the suffix heads of a page's dropped and open text; places only where open text is all there is."""
     best, heads = best_kind(blocks), []
-    for i, (kind, words) in enumerate(blocks):
-        if kind >= MAIN:
-            if kind == best and len(words) >= RUN:
-                heads.append((fingerprint(host, ["block", *words]), i, False))
-        else:
-            dropped = kind == DROPPED or best != OPEN
-            if len(words) >= RUN:
-                heads.append((fingerprint(host, ["block", *words]), -1, dropped))
-            if dropped:
-                heads += [(fingerprint(host, words[p:p + RUN]), -1, True) for p in range(len(words) - RUN + 1)]
+    for kind, words in blocks:
+        if kind == DROPPED or kind == OPEN != best:
+            heads += [(fingerprint(host, words[p:p + RUN]), -1) for p in range(len(words) - RUN + 1)]
     if best == OPEN:
         words = [w for k, part in blocks if k == OPEN for w in part]
-        heads += [(fingerprint(host, words[p:p + RUN]), p, True) for p in range(len(words) - RUN + 1)]
+        heads += [(fingerprint(host, words[p:p + RUN]), p) for p in range(len(words) - RUN + 1)]
     return heads
 
 
 PARSED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("text", pa.string()), ("host", pa.string()),
-                    ("heads", pa.list_(pa.struct([("fp", pa.int64()), ("place", pa.int64()), ("dropped", pa.bool_())])))])
+                    ("heads", pa.list_(pa.struct([("fp", pa.int64()), ("place", pa.int64())])))])
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +172,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             piece, out = batch.slice(at, 256), []
             for key, page, url, html in zip(*(piece.column(c).to_pylist() for c in ("key", "id", "url", "html")), strict=True):
                 blocks, host = page_blocks(html), host_of(url)
-                out.append({"key": key, "id": page, "text": assembled(blocks, set()), "host": host, "heads": [dict(zip(("fp", "place", "dropped"), h, strict=True)) for h in suffix_heads(host, blocks)]})
+                out.append({"key": key, "id": page, "text": assembled(blocks, set()), "host": host, "heads": [dict(zip(("fp", "place"), h, strict=True)) for h in suffix_heads(host, blocks)]})
             yield pa.RecordBatch.from_pylist(out, PARSED)
 
 
@@ -201,17 +190,16 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     pages. Instead of one suffix array per host, which would bind a host to one task, its intervals with a common
     prefix of ``RUN`` tokens are formed by grouping the suffix heads, summed before the shuffle; their union covers exactly
     what all longer repeats cover. A page without article or main element loses its covered runs, unless nearly
-    all of it is covered (a copied page, kept whole). An article loses a whole block only if the host shows the same
-    block as boilerplate elsewhere on two pages; article text that other pages merely quote stays.
+    all of it is covered (a copied page, kept whole). Text that structure marks as article or main text is never removed,
+    whatever other pages of the host show.
 
     Null html gives an empty text. Null urls share one host without a name. Rows with a null or repeated key give a row each.
     Empty tables give no rows; other columns are ignored.
     """
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(html).alias("html")).withColumn("key", F.xxhash64("id", "url", "html"))
-    parsed = staged(rows.select("key", F.col("id").cast("long").alias("id"), "url", "html").mapInArrow(_parsed, "key long, id long, text string, host string, heads array<struct<fp:long,place:long,dropped:boolean>>"))
+    parsed = staged(rows.select("key", F.col("id").cast("long").alias("id"), "url", "html").mapInArrow(_parsed, "key long, id long, text string, host string, heads array<struct<fp:long,place:long>>"))
     heads = parsed.select("key", "id", F.explode("heads").alias("h")).select("key", F.coalesce("id", "key").alias("page"), "h.*")
-    runs = heads.groupBy("fp").agg(F.min("page").alias("lo"), F.max("page").alias("hi"), F.min(F.when(F.col("dropped"), F.col("page"))).alias("dlo"), F.max(F.when(F.col("dropped"), F.col("page"))).alias("dhi"))
-    repeated = runs.where("dlo <> dhi").select("fp")
+    repeated = heads.groupBy("fp").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo <> hi").select("fp")
     covered = heads.where("place >= 0").join(repeated, "fp").groupBy("key").agg(F.collect_set("place").alias("covered"))
     cut = rows.select("key", "html").join(covered, "key").dropDuplicates(["key"]).mapInArrow(_without, "key long, cut string")
     texts = parsed.select("key", "text").dropDuplicates(["key"])

@@ -161,6 +161,15 @@ def test_repeated_runs_go_and_articles_stay(spark):
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_articles_stay_when_other_pages_advertise_them(spark):
+    head, first = "Council of the old town votes on the new harbour bridge", "The mayor said on Monday that work would begin at once"
+    rows = [(1, "http://h.example/1", f"<body><nav>a</nav><article><h1>{head}</h1><p>{first}</p><p>More</p></article></body>"),
+            (2, "http://h.example/2", f"<body><main><h1>{head}</h1><article><p>{first}</p></article></main></body>")]
+    rows += [(i, f"http://h.example/{i}", f"<body><div class=ad>{head}</div><footer>{first}</footer><article><p>Other {i}</p></article></body>") for i in (3, 4, 5)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: f"{head} {first} More", 2: f"{head} {first}", 3: "Other 3", 4: "Other 4", 5: "Other 5"}
+
+
 def test_archives_round_trip(spark):
     rows = [(1, "u", "x"), (2, None, "x"), (3, "u\n", None), (4, "u", ""), (5, "é", "x\r\n\r\n" * 300_000)]
     got = {r.page_id: r for r in warc.read_records(warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()}
