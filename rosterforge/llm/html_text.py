@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 from rosterforge.llm.shared import staged
 
 RUN = 8  # tokens of the shortest repeated run that counts
-COPIED = 0.9  # share of a page's text that may be repeated before the page counts as a copy
+PAGES, SHARE = 3, 0.5  # a run is boilerplate on at least so many different pages and on this share of the host's
+COVERED = 0.9  # share of a block's words in such runs from which the block goes
 DROPPED, OPEN, MAIN, ARTICLE = -1, 0, 1, 2
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -137,17 +138,20 @@ def best_kind(blocks: list[tuple[int, list[str]]]) -> int:
 
 
 def assembled(blocks: list[tuple[int, list[str]]], covered: set[int]) -> str:
-    """Text of the kept blocks. Article and main text stays whole; ``covered`` holds start places of repeated runs of a page without any."""
+    """Text of the kept blocks. Article and main text stays whole; ``covered`` holds start places of boilerplate runs of a page without any."""
     best = best_kind(blocks)
     if best == DROPPED:
         return ""
     if best != OPEN:
         return " ".join(w for k, words in blocks if k >= MAIN for w in words)
-    words = [w for k, part in blocks if k == OPEN for w in part]
     gone = {p for at in covered for p in range(at, at + RUN)}
-    if len(gone) >= COPIED * len(words):
-        gone = set()
-    return " ".join(w for i, w in enumerate(words) if i not in gone)
+    kept, at = [], 0
+    for k, words in blocks:
+        if k == OPEN:
+            if sum(p in gone for p in range(at, at + len(words))) < COVERED * len(words):
+                kept += words
+            at += len(words)
+    return " ".join(kept)
 
 
 def suffix_heads(host: str, blocks: list[tuple[int, list[str]]]) -> list[tuple[int, int]]:
@@ -162,24 +166,26 @@ def suffix_heads(host: str, blocks: list[tuple[int, list[str]]]) -> list[tuple[i
     return heads
 
 
-PARSED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("text", pa.string()), ("host", pa.string()),
-                    ("heads", pa.list_(pa.struct([("fp", pa.int64()), ("place", pa.int64())])))])
+PARSED = pa.schema([("text", pa.string()), ("blocks", pa.list_(pa.string())), ("host", pa.string()), ("page", pa.int64()), ("heads", pa.list_(pa.struct([("fp", pa.int64()), ("place", pa.int64())])))])
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             piece, out = batch.slice(at, 256), []
-            for key, page, url, html in zip(*(piece.column(c).to_pylist() for c in ("key", "id", "url", "html")), strict=True):
+            for url, html in zip(*(piece.column(c).to_pylist() for c in ("url", "html")), strict=True):
                 blocks, host = page_blocks(html), host_of(url)
-                out.append({"key": key, "id": page, "text": assembled(blocks, set()), "host": host, "heads": [dict(zip(("fp", "place"), h, strict=True)) for h in suffix_heads(host, blocks)]})
-            yield pa.RecordBatch.from_pylist(out, PARSED)
+                page = fingerprint(host, [w for _, words in blocks for w in words]) if blocks else None
+                told = [" ".join(words) for k, words in blocks if k == OPEN] if best_kind(blocks) == OPEN else None
+                out.append({"text": assembled(blocks, set()) if told is None else None, "blocks": told, "host": host, "page": page, "heads": [dict(zip(("fp", "place"), h, strict=True)) for h in suffix_heads(host, blocks)]})
+            made = pa.RecordBatch.from_pylist(out, PARSED)
+            yield pa.RecordBatch.from_arrays([piece.column("key"), piece.column("id"), piece.column("url"), *made.columns], ["key", "id", "url", *PARSED.names])
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [assembled(page_blocks(h), set(c)) for h, c in zip(batch.column("html").to_pylist(), batch.column("covered").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], ["key", "cut"])
+        texts = [assembled([(OPEN, b.split()) for b in blocks], set(c or ())) for blocks, c in zip(batch.column("blocks").to_pylist(), batch.column("covered").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -188,22 +194,26 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     Blocks inside menus, page headers, footers, sidebars, notices, adverts, forms and comments go by structure. The
     token streams of a host's pages are then searched for runs of at least ``RUN`` tokens that occur on distinct
     pages. Instead of one suffix array per host, which would bind a host to one task, its intervals with a common
-    prefix of ``RUN`` tokens are formed by grouping the suffix heads, summed before the shuffle; their union covers exactly
-    what all longer repeats cover. A page without article or main element loses its covered runs, unless nearly
-    all of it is covered (a copied page, kept whole). Text that structure marks as article or main text is never removed,
-    whatever other pages of the host show.
+    prefix of ``RUN`` tokens are formed by grouping the suffix heads; their union covers exactly
+    what all longer repeats cover. A run is boilerplate if at least ``PAGES`` pages of different words and ``SHARE`` of
+    all such pages of the host hold it outside article and main text; what fewer pages share, two stories or edits of
+    one, stays. A page without article or main element loses each block whose words such runs cover to ``COVERED``,
+    however much of the page that is; other blocks stay whole. Text that structure marks as article or main text is
+    never removed, whatever other pages of the host show.
 
     Null html gives an empty text. Null urls share one host without a name. Rows with a null or repeated key give a row each.
     Empty tables give no rows; other columns are ignored.
     """
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), F.col(html).alias("html")).withColumn("key", F.xxhash64("id", "url", "html"))
-    parsed = staged(rows.select("key", F.col("id").cast("long").alias("id"), "url", "html").mapInArrow(_parsed, "key long, id long, text string, host string, heads array<struct<fp:long,place:long>>"))
-    heads = parsed.select("key", "id", F.explode("heads").alias("h")).select("key", F.coalesce("id", "key").alias("page"), "h.*")
-    repeated = heads.groupBy("fp").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo <> hi").select("fp")
-    covered = heads.where("place >= 0").join(repeated, "fp").groupBy("key").agg(F.collect_set("place").alias("covered"))
-    cut = rows.select("key", "html").join(covered, "key").dropDuplicates(["key"]).mapInArrow(_without, "key long, cut string")
-    texts = parsed.select("key", "text").dropDuplicates(["key"])
-    told = rows.select("id", "url", "key").join(texts, "key").join(cut, "key", "left").select("id", "url", F.coalesce("cut", "text").alias("text"))
+    kinds = f"id {rows.schema['id'].dataType.simpleString()}, url string"
+    parsed = staged(rows.select("key", "id", "url", "html").mapInArrow(_parsed, f"key long, {kinds}, text string, blocks array<string>, host string, page long, heads array<struct<fp:long,place:long>>"))
+    heads = parsed.select("key", "page", F.explode("heads").alias("h")).select("key", "page", "h.*")
+    common = heads.select("fp", "page").distinct().groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
+    sizes = parsed.where("page IS NOT NULL").select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    own = parsed.select("key", "host").distinct().join(sizes, "host").select("key", "pages")
+    covered = heads.where("place >= 0").join(common, "fp").join(own, "key").where(F.col("n") >= SHARE * F.col("pages")).groupBy("key").agg(F.collect_set("place").alias("covered"))
+    cut = parsed.where("blocks IS NOT NULL").select("key", "id", "url", "blocks").join(covered, "key", "left").mapInArrow(_without, f"{kinds}, text string")
+    told = parsed.where("blocks IS NULL").select("id", "url", "text").unionByName(cut)
     return told.select(F.col("id").alias(key), "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -170,6 +170,17 @@ def test_articles_stay_when_other_pages_advertise_them(spark):
     assert got == {1: f"{head} {first} More", 2: f"{head} {first}", 3: "Other 3", 4: "Other 4", 5: "Other 5"}
 
 
+def test_open_pages_lose_template_blocks_and_keep_shared_passages(spark):
+    legal = "all rights reserved by the owner of this site since long ago " * 8
+    quote = "the minister told reporters that nobody had seen the letter before last week"
+    story = " ".join(f"edit{i}" for i in range(60))
+    own = {i: [f"Short note number {i} on weather"] for i in range(8)} | {i: [f"Lead {i}", quote] for i in (8, 9)} | {i: [f"{story} v{i}"] for i in (10, 11)}
+    rows = [(i, f"http://h.example/{i}", "<body>" + "".join(f"<div>{t}</div>" for t in [*texts, legal]) + "</body>") for i, texts in own.items()]
+    rows += [(i, "http://c.example/", f"<body><div>{story}</div></body>") for i in (20, 21, 22, 23)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join(t) for i, t in own.items()} | {i: story for i in (20, 21, 22, 23)}
+
+
 def test_archives_round_trip(spark):
     rows = [(1, "u", "x"), (2, None, "x"), (3, "u\n", None), (4, "u", ""), (5, "é", "x\r\n\r\n" * 300_000)]
     got = {r.page_id: r for r in warc.read_records(warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()}
