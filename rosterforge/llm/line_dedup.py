@@ -111,12 +111,12 @@ def _lines(docs: DataFrame, counts, tenths: int) -> DataFrame:
                 use = (place < prefix_length(n, tenths)[line]) & (seen > 1) & fresh[line]
                 asks = np.bincount(line[use], minlength=len(sizes)) > 0
                 bits = _parity(ids, line, n)
-                doc = np.repeat(piece.column("doc").to_numpy(zero_copy_only=False), lines)
+                doc, row = (np.repeat(piece.column(k).to_numpy(zero_copy_only=False), lines) for k in ("doc", "row"))
                 number = np.concatenate([np.arange(k) for k in lines]) if lines else np.empty(0, np.int64)
-                made = pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int64()), pa.array(c), pa.array(n, pa.int64()), _grouped(ids[use].view(np.int64), line[use], len(sizes), pa.int64()),
-                                                   _grouped(place[use], line[use], len(sizes), pa.int64()), pc.if_else(pa.array(asks), bits, pa.scalar(None, bits.type))], ["doc", "line", "c", "n", "prefix", "places", "bits"])
+                made = pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(number, pa.int64()), pa.array(c), pa.array(n, pa.int64()), _grouped(ids[use].view(np.int64), line[use], len(sizes), pa.int64()),
+                                                   _grouped(place[use], line[use], len(sizes), pa.int64()), pc.if_else(pa.array(asks), bits, pa.scalar(None, bits.type))], ["doc", "row", "line", "c", "n", "prefix", "places", "bits"])
                 yield made.filter(pa.array(n > 0))
-    return docs.select("doc", "text").mapInArrow(run, "doc long, line long, c long, n long, prefix array<long>, places array<long>, bits array<long>")
+    return docs.select("doc", "row", "text").mapInArrow(run, "doc long, row long, line long, c long, n long, prefix array<long>, places array<long>, bits array<long>")
 
 
 def _line_sets(docs: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def _later(tenths: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in _whole_cells(batches, "cluster"):
             cell = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            order = np.lexsort((table.column("fl").to_numpy(), table.column("fd").to_numpy(), cell))
+            order = np.lexsort((*(table.column(k).to_numpy() for k in ("fl", "fr", "fd")), cell))
             ids, side = table.column("id").to_numpy()[order], table.column("side").to_numpy()[order]
             values, begin = _listed(table, "tokens", np.uint64)
             n = np.diff(np.append(begin, len(values)))[order]
@@ -264,44 +264,44 @@ def _later(tenths: int):
 
 
 def repeated_lines(docs: DataFrame, tenths: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_lines, removed) per row: numbers of the lines similar to an earlier one, Jaccard of word sets * 10 >= ``tenths``.
+    """(key, row, n_lines, removed) per row, ``row`` a hash of key and text: numbers of the lines similar to an earlier one, Jaccard of word sets * 10 >= ``tenths``.
 
-    Lines with equal sets are one class, met by the class's first line in the order (key, line). Tokens are ordered by
+    Lines with equal sets are one class, met by the class's first line in the order (key, row, line). Tokens are ordered by
     rarity, read from a table of counts of fixed size (a shared cell only makes the order less sharp, any order is
     exact); a token that occurs once joins with nothing and is left out. Prefixes meet by token, in blocks, under the length
     and positional filters and parity bits, which never part similar sets; what these let through forms clusters, where
     whole sets are compared, in blocks as well. Pairs are never written. A line goes if an earlier line of any document is
     similar to it, removed itself or not.
 
-    Null texts have no lines. Lines without words stay. Rows with a null key come last in the order; rows that repeat a key are
-    decided alike. An empty table gives no rows.
+    Null texts have no lines. Lines without words stay. Rows with a null key come last in the order. Rows that share
+    a key, or have none, are told apart by their text; rows that repeat key and text are decided alike. An empty table gives no rows.
     """
-    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text")).withColumn("row", F.xxhash64("id", "text"))
     counts = docs.sparkSession.sparkContext.broadcast(token_counts(rows))
     lines = staged(_lines(rows, counts, tenths))
-    classes = staged(lines.groupBy("c").agg(F.min(F.struct("doc", "line")).alias("first")))
+    classes = staged(lines.groupBy("c").agg(F.min(F.struct("doc", "row", "line")).alias("first")))
     heads = lines.where("size(prefix) > 0").select(F.col("c").alias("id"), "n", "bits", "prefix", "places").dropDuplicates(["id"])
     heads = staged(heads)
     keyed = heads.select("id", F.explode(F.arrays_zip("prefix", "places")).alias("p")).select("id", F.col("p.prefix").alias("token"), F.col("p.places").alias("place"))
     likely = in_blocks(keyed, "token", BLOCK_ROWS, heads.select("id", "n", "bits")).mapInArrow(_likely(tenths), "a long, b long").distinct()
     clusters = staged(connected_components(likely).withColumnRenamed("component", "cluster"))
-    asked = clusters.select(F.col("id").alias("c")).join(classes, "c").groupBy("first.doc").agg(F.collect_list("first.line").alias("wanted"))
-    sets = _line_sets(rows.where("text IS NOT NULL").join(asked, "doc").select("text", "wanted")).dropDuplicates(["c"])
-    sets = staged(sets.join(classes, "c").select(F.col("c").alias("id"), "tokens", F.col("first.doc").alias("fd"), F.col("first.line").alias("fl")))
+    asked = clusters.select(F.col("id").alias("c")).join(classes, "c").groupBy("first.doc", "first.row").agg(F.collect_list("first.line").alias("wanted"))
+    sets = _line_sets(rows.where("text IS NOT NULL").join(asked, ["doc", "row"]).select("text", "wanted")).dropDuplicates(["c"])
+    sets = staged(sets.join(classes, "c").select(F.col("c").alias("id"), "tokens", F.col("first.doc").alias("fd"), F.col("first.row").alias("fr"), F.col("first.line").alias("fl")))
     later = in_blocks(clusters, "cluster", BLOCK_ROWS, sets).mapInArrow(_later(tenths), "c long").distinct()
-    fate = classes.join(later.withColumn("later", F.lit(True)), "c", "left").select("c", F.col("first.doc").alias("fd"), F.col("first.line").alias("fl"), F.coalesce("later", F.lit(False)).alias("later"))
-    gone = lines.select("doc", "line", "c").join(fate, "c").where("later OR doc <> fd OR line <> fl").groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    fate = classes.join(later.withColumn("later", F.lit(True)), "c", "left").select("c", F.col("first.doc").alias("fd"), F.col("first.row").alias("fr"), F.col("first.line").alias("fl"), F.coalesce("later", F.lit(False)).alias("later"))
+    gone = lines.select("doc", "row", "line", "c").join(fate, "c").where("later OR doc <> fd OR row <> fr OR line <> fl").groupBy("doc", "row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     size = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1).cast("long")
-    return rows.select("id", "doc", size.alias("n_lines")).join(gone, "doc", "left").select(F.col("id").alias(key), "n_lines", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
+    return rows.select("id", "doc", "row", size.alias("n_lines")).join(gone, ["doc", "row"], "left").select(F.col("id").alias(key), "row", "n_lines", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the lines named in ``removed`` (key, removed) taken out of the text."""
-    named = removed.select(F.col(key).alias("__key"), F.col("removed").alias("__gone")).where("size(__gone) > 0").dropDuplicates(["__key"])
+    """``docs`` with the lines named in ``removed`` (key, row, removed) taken out of the text."""
+    named = removed.select(F.col(key).alias("__key"), F.col("row").alias("__row"), F.col("removed").alias("__gone")).where("size(__gone) > 0").dropDuplicates(["__key", "__row"])
     parts = F.split(F.col(text), "\n")
     kept = F.array_except(F.sequence(F.lit(0).cast("long"), F.size(parts).cast("long") - 1), F.col("__gone"))
     cut = F.when(F.col("__gone").isNotNull() & F.col(text).isNotNull(), F.array_join(F.transform(kept, lambda i: F.get(parts, i.cast("int"))), "\n")).otherwise(F.col(text))
-    return docs.join(named, F.col(key).eqNullSafe(F.col("__key")), "left").withColumn(text, cut).select(*docs.columns)
+    return docs.join(named, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(F.col(key), F.col(text)) == F.col("__row")), "left").withColumn(text, cut).select(*docs.columns)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -218,6 +218,16 @@ def test_lines_odd_rows(spark, odd):
     assert line_dedup.repeated_lines(odd.limit(0)).count() == 0
 
 
+def test_lines_of_rows_that_share_a_key(spark):
+    first = "one two three four five"
+    rows = [(1, first), (None, f"{first}\nalpha beta gamma"), (None, "delta epsilon zeta"), (2, f"eta theta\n{first}"), (2, "iota kappa\nlambda mu"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = line_dedup.repeated_lines(docs)
+    assert sorted((str(r.doc_id), r.n_lines, r.removed) for r in out.collect()) == [("1", 1, []), ("2", 2, []), ("2", 2, [1]), ("3", 0, []), ("None", 1, []), ("None", 2, [0])]
+    left = {(r.doc_id, r.text) for r in line_dedup.without_lines(docs, out).collect()}
+    assert left == {(1, first), (None, "alpha beta gamma"), (None, "delta epsilon zeta"), (2, "eta theta"), (2, "iota kappa\nlambda mu"), (3, None)}
+
+
 def test_edited_counts_equal_new_counts():
     counter, rng = token_edits.TokenCounter(token_edits.TOKENIZERS), random.Random(1)
     parts = ["a", "b", " ", "  ", "\n", "'s", "'", "1", "23", "é", "!", "-", "\t", "x y", " 's"]
