@@ -16,15 +16,15 @@ def index_words(text: Column) -> Column:
 
 
 def positional_index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Staged postings (term, key, pos) of every occurrence of ``terms`` (column ``term``, hashes of words).
+    """Staged postings (term, key, row, pos) of every occurrence of ``terms`` (column ``term``, hashes of words).
 
-    Each row of ``docs`` also leaves one closing posting: term null, pos the number of words, ``row`` a hash of the
-    text. Lists of words that no test item uses would never be read and are not stored.
+    ``row`` is a hash of the text, so that rows that share a key, or have none, are told apart. Each row of ``docs``
+    also leaves one closing posting: term null, pos the number of words. Lists of words that no test item uses would never be read and are not stored.
     """
     spoken = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("row"), F.array_append(index_words(F.col(text)), F.lit(None).cast("string")).alias("words"))
     each = spoken.select("key", "row", F.posexplode("words").alias("pos", "word")).withColumn("term", F.when(F.col("word").isNotNull(), F.xxhash64("word")))
     hits = each.join(terms.select("term", F.lit(True).alias("asked")), "term", "left").where("asked OR word IS NULL")
-    return staged(hits.select("term", "key", "pos", F.when(F.col("word").isNull(), F.col("row")).alias("row")))
+    return staged(hits.select("term", "key", "row", "pos"))
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -36,7 +36,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, item: str = "item_id",
 
 
 def phrase_candidates(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """Distinct (key, item, words, shift) at which the two rarest terms of some window stand at the right distance.
+    """Distinct (key, row, item, words, shift) at which the two rarest terms of some window stand at the right distance.
 
     ``shift`` is the place in the document minus the place in the item, so lists meet on one value. A term that no
     document holds excludes its windows. Rarity only decides the order of work; any order finds the same phrases.
@@ -49,14 +49,18 @@ def phrase_candidates(index: DataFrame, windows: DataFrame) -> DataFrame:
 
     def shifted(which: str) -> DataFrame:
         asked = rare.where(f"{which} IS NOT NULL").select("item", "words", F.col(f"{which}.term").alias("term"), F.col(f"{which}.pos").alias("at")).distinct()
-        return index.join(asked, "term").select("key", "item", "words", "at", (F.col("pos") - F.col("at")).alias("shift"))
+        return index.join(asked, "term").select("key", "row", "item", "words", "at", (F.col("pos") - F.col("at")).alias("shift"))
 
     first = shifted("r1").drop("words")
     pairs = rare.select("item", "words", F.col("r1.pos").alias("at"), F.col("r2.pos").alias("at2")).distinct()
     begun = first.join(pairs, ["item", "at"])
-    second = shifted("r2").select("key", "item", F.col("at").alias("at2"), "shift").distinct()
-    both = begun.where("at2 IS NOT NULL").join(second, ["key", "item", "at2", "shift"], "left_semi")
-    return begun.where("at2 IS NULL").select("key", "item", "words", "shift").unionByName(both.select("key", "item", "words", "shift")).distinct()
+    second = shifted("r2").select("key", "row", "item", F.col("at").alias("at2"), "shift").distinct()
+    met = F.col("b.key").eqNullSafe(F.col("s.key"))
+    for name in ("row", "item", "at2", "shift"):
+        met &= F.col(f"b.{name}") == F.col(f"s.{name}")
+    both = begun.where("at2 IS NOT NULL").alias("b").join(second.alias("s"), met, "left_semi")
+    told = ("key", "row", "item", "words", "shift")
+    return begun.where("at2 IS NULL").select(*told).unionByName(both.select(*told)).distinct()
 
 
 def proximity_matches(index: DataFrame, phrases: DataFrame, slack: int) -> DataFrame:
@@ -75,14 +79,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_i
 
     Candidates come from the index; their documents' words are then compared with the item's, and every word
     inside an exact occurrence of a window is hit once. Contaminated: some hit, and ``one_in`` * hits >= words.
-    Null or empty texts have no words and no hits. Repeated rows each give a row. Null items are skipped; an empty
+    Null or empty texts have no words and no hits. Repeated rows each give a row. Rows with a
+    null key are judged like others. Null items are skipped; an empty
     benchmark leaves every document clean. Other columns are ignored.
     """
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     windows = staged(item_windows(items, window))
     index = positional_index(docs, windows.select("term").distinct(), "key", "text")
-    found = phrase_candidates(index, windows).groupBy("key").agg(F.collect_list(F.struct("item", "words", "shift")).alias("found"))
-    told = docs.where("text IS NOT NULL").join(found, "key").select("key", F.xxhash64("text").alias("row"), index_words(F.col("text")).alias("said"), "found").distinct()
+    found = phrase_candidates(index, windows).groupBy("key", "row").agg(F.collect_list(F.struct("item", "words", "shift")).alias("found"))
+    met = F.col("d.key").eqNullSafe(F.col("f.key")) & (F.col("d.row") == F.col("f.row"))
+    told = docs.where("text IS NOT NULL").withColumn("row", F.xxhash64("text")).alias("d").join(found.alias("f"), met).select("d.key", "d.row", index_words(F.col("text")).alias("said"), "found").distinct()
 
     def checked(c: Column) -> Column:
         width = F.least(F.lit(window), F.size(c["words"]))

@@ -82,6 +82,18 @@ def test_decontamination_odd_rows(spark, odd):
     assert decontaminate.contamination(odd.limit(0), items).count() == 0
 
 
+def test_decontamination_judges_rows_without_key(spark, odd):
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20, 40))), (2, "solo")], "item_id long, text string")
+    out = [r for r in decontaminate.contamination(odd, items).collect() if r.doc_id is None]
+    assert [(r.n_words, r.n_hit, r["items"], r.contaminated) for r in out] == [(60, 20, ["1"], True)]
+    more = spark.createDataFrame([(None, "solo"), (None, "clean text"), (7, "solo"), (7, "clean text")], "doc_id long, text string")
+    got = decontaminate.contamination(more, items).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.contaminated) for r in got) == [("7", 1, 1, True), ("7", 2, 0, False), ("None", 1, 1, True), ("None", 2, 0, False)]
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first().text
+    docs = spark.createDataFrame([(None, benchmark, "en", "s", 1), (None, "clean text", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.text for r in corpus_pipeline.drop_contaminated(spark, docs, SF).collect()] == ["clean text"]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta"), (2, "alpha x x x x x beta")], "doc_id long, text string")
     terms = spark.createDataFrame([("p", "alpha"), ("p", "beta")], "phrase string, word string").select("phrase", F.xxhash64("word").alias("term"))
