@@ -35,12 +35,22 @@ def record_id(page_id: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
-def record_bytes(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def unnumbered_id(digest: str, url: str) -> str:
+    """Record id of a page without a number."""
+    name = f"payload:{digest}:{url}".encode("utf-8", "surrogatepass")
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha1(uuid.NAMESPACE_URL.bytes + name).digest()[:16], version=5)}>"
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """A response record, or a revisit record that keeps the HTTP head only and names the response."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     target = "".join(c for c in (url or "") if c not in "\r\n")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}",
-             f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest_of(payload)}", f"X-Page-ID: {page_id}"]
+    digest = digest_of(payload)
+    named = record_id(page_id) if page_id is not None else unnumbered_id(digest, target)
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {named}", f"WARC-Date: {DATE}",
+             f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}"]
+    if page_id is not None:
+        lines.append(f"X-Page-ID: {page_id}")
     block = head
     if refers_to is None:
         block += payload
@@ -167,8 +177,8 @@ def read_records(index: DataFrame) -> DataFrame:
                 digest = headers["warc-payload-digest"].removeprefix("sha1:")
                 if headers["warc-type"] == "response" and (digest_of(payload) != digest or len(payload) != told):
                     raise ValueError(f"damaged record {headers['warc-record-id']}")
-                refers = headers.get("x-refers-to-page")
-                out.append((int(headers["x-page-id"]), headers["warc-target-uri"], headers["warc-type"], int(refers) if refers else None, told, digest))
+                page, refers = headers.get("x-page-id"), headers.get("x-refers-to-page")
+                out.append((int(page) if page else None, headers["warc-target-uri"], headers["warc-type"], int(refers) if refers else None, told, digest))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             names = [k.split()[0] for k in READ_KIND.split(", ")]
             kinds = [pa.int64() if k.endswith("long") else pa.string() for k in READ_KIND.split(", ")]
@@ -183,17 +193,18 @@ def archive_pages(pages: DataFrame, smallest: int = 0, folder: str | None = None
     the others revisit it. Payloads meet by digest only, and only where a digest repeats; the first page of each is
     replicated over salts, so a payload that holds a third of the rows is dealt over many tasks.
 
-    A null html is an empty payload. A null url is written as an empty one. Rows with a null page_id cannot be named and
-    raise an error. Rows that repeat a page_id give a record each. An empty table writes no archive and gives an empty index.
+    A null html is an empty payload. A null url is written as an empty one. A row with a null page_id gets a
+    record without a page number, named by digest and url; it revisits a numbered page of equal payload and is a response
+    where none has a number. Rows that repeat a page_id give a record each. An empty table writes no archive and gives an empty index.
     """
     folder = folder or shared_folder(pages.sparkSession)
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("page_id", F.when(F.col("page_id").isNotNull(), F.col("page_id")).otherwise(F.raise_error(F.lit("page_id is null")).cast("long")))
-    keyed = rows.withColumn("sha", F.sha1("payload")).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(16)).cast("int"))
-    repeated = keyed.where(F.length("payload") >= smallest).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1") \
+    keyed = rows.withColumn("sha", F.sha1("payload")).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(16)).cast("int"))
+    repeated = keyed.where(F.length("payload") >= smallest).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL") \
         .select("sha", "first", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt"))
-    decided = keyed.select("page_id", "sha", "salt").join(repeated, ["sha", "salt"]).where("page_id <> first").select("page_id", "sha", F.col("first").alias("refers_to")).distinct()
-    records = keyed.join(decided, ["page_id", "sha"], "left").select("page_id", "url", "payload", "refers_to")
+    decided = keyed.select("page_id", "sha", "salt").join(repeated, ["sha", "salt"]).where("page_id IS NULL OR page_id <> first").select("page_id", "sha", F.col("first").alias("refers_to")).distinct()
+    met = F.col("k.page_id").eqNullSafe(F.col("d.page_id")) & (F.col("k.sha") == F.col("d.sha"))
+    records = keyed.alias("k").join(decided.alias("d"), met, "left").select("k.page_id", "url", "payload", "refers_to")
     return normalise(write_monolithic(records, f"{folder}/whole"), f"{folder}/members")
 
 

@@ -202,6 +202,14 @@ def test_archives_round_trip(spark):
     assert warc.read_records(warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
 
 
+def test_archives_of_pages_without_number(spark):
+    rows = [(2, "u", "x"), (None, "v", "x"), (None, None, "x"), (None, "w", "y"), (None, "w", "y"), (None, None, None), (3, "z", "")]
+    got = warc.read_records(warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    assert sorted(((r.page_id, r.url, r.record_type, r.refers_to, r.payload_bytes) for r in got), key=str) == sorted([
+        (2, "u", "response", None, 1), (None, "v", "revisit", 2, 1), (None, "", "revisit", 2, 1), (None, "w", "response", None, 1),
+        (None, "w", "response", None, 1), (None, "", "revisit", 3, 0), (3, "z", "response", None, 0)], key=str)
+
+
 def test_lines_in_crowded_blocks_against_brute_force(spark, monkeypatch):
     rng = random.Random(8)
     words = [f"v{i}" for i in range(40)]
