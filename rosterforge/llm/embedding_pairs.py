@@ -125,7 +125,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id
 
     Equal vectors are one class. Each class's unit vector is rotated and reduced to signs; bands of sign bits say
     which classes meet (a pair at the threshold 0.93 meets nowhere with probability 4e-4, at 0.96 with 4e-6). Where they
-    meet, a code's inner product with the rotated vector, divided by the stored correction factor, estimates the
+    meet, a code's inner product with the rotated vector, divided by the correction factor (computed again in each cell, not stored), estimates the
     cosine without bias; only pairs whose upper bound reaches the threshold are computed in double precision, which decides.
     Crowded buckets are cut into blocks that meet pairwise, so a task holds two blocks. Only counts and one
     edge per row and cell leave a task.
