@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rosterforge.llm.decontaminate import OP5_SQL, op5
 from rosterforge.llm.embedding_pairs import OP4_SQL, op4
+from rosterforge.llm.filter_audit import OP12_SQL, op12
 from rosterforge.llm.html_text import op2
 from rosterforge.llm.line_dedup import OP7_SQL, op7
 from rosterforge.llm.mixing import OP9_SQL, op9
@@ -14,5 +15,5 @@ from rosterforge.llm.toxicity import op10
 from rosterforge.llm.warc import OP3_SQL, op3
 
 QUERIES = {"op1_shuffle_shards": op1, "op2_page_text": op2, "op3_warc_members": op3, "op4_near_vectors": op4, "op5_decontaminate": op5,
-           "op6_ngram_join": op6, "op7_line_dedup": op7, "op8_edited_counts": op8, "op9_mix_sources": op9, "op10_toxicity": op10}
-ORACLES = {"op3_warc_members": OP3_SQL, "op4_near_vectors": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_ngram_join": OP6_SQL, "op7_line_dedup": OP7_SQL, "op9_mix_sources": OP9_SQL}
+           "op6_ngram_join": op6, "op7_line_dedup": op7, "op8_edited_counts": op8, "op9_mix_sources": op9, "op10_toxicity": op10, "op12_filter_audit": op12}
+ORACLES = {"op3_warc_members": OP3_SQL, "op4_near_vectors": OP4_SQL, "op5_decontaminate": OP5_SQL, "op6_ngram_join": OP6_SQL, "op7_line_dedup": OP7_SQL, "op9_mix_sources": OP9_SQL, "op12_filter_audit": OP12_SQL}
