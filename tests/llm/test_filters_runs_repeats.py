@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
 import re
+import zlib
+from fractions import Fraction
 from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rosterforge.llm import filter_audit
+from rosterforge.llm import filter_audit, periodic_runs
 from rosterforge.llm.queries import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
@@ -80,3 +85,81 @@ def test_sums_of_two_shards_add_up(spark, odd):
 def test_query_matches_sql(spark, name):
     ok, note = compare(spark, connect(SF), name, QUERIES[name], ORACLES[name], SF)
     assert ok, note
+
+
+def runs_by_hand(words):
+    """Every maximal stretch with its smallest period, by trying all periods at all places."""
+    n, out = len(words), set()
+    ids = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    a = np.array([ids[w] for w in words], np.int64)
+    for q in range(1, n // 3 + 1):
+        same = np.concatenate([[False], a[q:] == a[:-q], [False]]).astype(np.int8)
+        edges = np.diff(same)
+        for s, e in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)):
+            length = int(e - s + q)
+            if length >= max(24, 3 * q) and not any(q % d == 0 and (a[s:s + length - d] == a[s + d:s + length]).all() for d in range(1, q)):
+                out.add((int(s), length, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def planted_by_hand(key, text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    h = zlib.crc32(str(key).encode()) if key is not None else 1
+    g, n = h // 10, len(words)
+    if h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[a + (i - a) % p] if i >= a else words[i] for i in range(n)]
+    return words
+
+
+def run_row(key, text):
+    words = planted_by_hand(key, text)
+    runs = runs_by_hand(words)
+    gone = {i for s, length, q in runs for i in range(s + q, s + length)}
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else (None, None, None)
+    milli = 1000 * best[1] // best[2] if runs else None
+    lines = "".join(f"{s},{length},{q}\n" for s, length, q in runs)
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    return (key, len(runs), *best, milli, *(hashlib.sha256(x.encode()).hexdigest() for x in (lines, kept)))
+
+
+def test_runs_query_matches_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    told = {tuple(r) for r in QUERIES["op13_periodic_runs"](spark, SF).collect()}
+    wanted = {run_row(r.doc_id, r.text) for r in docs}
+    assert told == wanted and sum(r[1] > 0 for r in wanted) > 10
+
+
+def test_runs_of_small_alphabets(spark):
+    dice = random.Random(13)
+    texts = []
+    for _ in range(250):
+        words = []
+        while len(words) < dice.randint(0, 400):
+            block = dice.choices("ab" if dice.random() < .5 else "abcdef", k=dice.randint(1, 40))
+            words += block * dice.randint(1, 6) + block[:dice.randint(0, len(block))]
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = {int(r.key): [(x.start, x.length, x.period) for x in r.runs] for r in periodic_runs.periodic_runs(rows).collect()}
+    assert told == {i: runs_by_hand(t.split()) for i, t in enumerate(texts)}
+
+
+def test_runs_of_odd_rows(spark, odd):
+    out = periodic_runs.periodic_runs(odd).collect()
+    assert len(out) == odd.count()
+    long = next(r for r in out if r.key == "7")
+    assert [tuple(r) for r in long.runs] == [(0, 1, 100_000)] and long.said == "long" and long.n_words == 100_000
+    assert [r.said for r in out if r.key == "8"] == ["A B C"] and [r.said for r in out if r.key == "3"] == [""]
+    assert len([r for r in out if r.key is None]) == 2 and all(not r.runs for r in out if r.key is None)
+    repeated = odd.unionByName(odd).unionByName(odd)
+    assert sorted(map(str, periodic_runs.periodic_runs(repeated, digests=True).select("key", "runs", "digest").collect())) == sorted(
+        str(r) for r in periodic_runs.periodic_runs(odd, digests=True).select("key", "runs", "digest").collect() for _ in range(3))
+    assert periodic_runs.periodic_runs(odd.limit(0)).count() == 0
+
+
+def test_tiles_of_one_text_meet_in_the_shuffle(spark):
+    """Fragments of one run, cut by tiles that other tasks solved, become one run; two runs of one period stay two."""
+    found = [(5, 0, 40), (5, 30, 70), (5, 64, 90), (5, 87, 120), (7, 10, 20)]
+    tiled = spark.createDataFrame([("1", b"r", [dict(zip(("period", "start", "stop"), f))]) for f in found], "key string, row binary, found array<struct<period:long,start:long,stop:long>>")
+    assert {tuple(r)[1:] for r in periodic_runs.stitched_runs(tiled).collect()} == {(0, 90, 5), (87, 33, 5)}
