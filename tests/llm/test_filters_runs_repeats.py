@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rosterforge.llm import filter_audit, periodic_runs
+from rosterforge.llm import filter_audit, periodic_runs, recompression
 from rosterforge.llm.queries import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
@@ -163,3 +163,71 @@ def test_tiles_of_one_text_meet_in_the_shuffle(spark):
     found = [(5, 0, 40), (5, 30, 70), (5, 64, 90), (5, 87, 120), (7, 10, 20)]
     tiled = spark.createDataFrame([("1", b"r", [dict(zip(("period", "start", "stop"), f))]) for f in found], "key string, row binary, found array<struct<period:long,start:long,stop:long>>")
     assert {tuple(r)[1:] for r in periodic_runs.stitched_runs(tiled).collect()} == {(0, 90, 5), (87, 33, 5)}
+
+
+def cut_by_hand(rows):
+    """Per row (key, text): words left, by comparing every window of 13 words with all others."""
+    said = [(k, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in rows]
+    first: dict = {}
+    for k, w in said:
+        for i in range(len(w) - 12):
+            if k is not None:
+                g = tuple(w[i:i + 13])
+                first[g] = min(k, first.get(g, k))
+    out = []
+    for k, w in said:
+        gone = {j for i in range(len(w) - 12) if k is not None and first[tuple(w[i:i + 13])] < k for j in range(i, i + 13)}
+        out.append((k, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return sorted(out, key=str)
+
+
+def told_cuts(docs, digests=False):
+    return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in recompression.without_repeats(docs, digests=digests).collect()), key=str)
+
+
+def test_repeats_of_odd_rows(spark, odd):
+    assert told_cuts(odd) == cut_by_hand([(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()])
+    assert recompression.without_repeats(odd.limit(0)).count() == 0
+    told = recompression.without_repeats(odd, digests=True).select("doc_id", "kept_digest").collect()
+    assert sorted(told, key=str) == sorted(((k, hashlib.sha256(t.encode()).hexdigest()) for k, *_, t in cut_by_hand([(r.doc_id, r.text) for r in odd.collect()])), key=str)
+
+
+@pytest.mark.parametrize("alphabet", [2, 5, 3000])
+def test_repeats_of_small_batches(spark, monkeypatch, alphabet):
+    """Passages of 10 to 80 words dealt over many texts, some under one key, some with none, in many batches and cells."""
+    monkeypatch.setattr(recompression, "BATCH_CHARS", 3000)
+    monkeypatch.setattr(recompression, "CELL_CHARS", 9000)
+    dice = random.Random(alphabet)
+    words = [f"w{i}" for i in range(alphabet)]
+    passages = [dice.choices(words, k=dice.randint(10, 80)) for _ in range(12)]
+    rows = []
+    for i in range(160):
+        text = []
+        for _ in range(dice.randint(0, 4)):
+            passage = dice.choice(passages)
+            text += passage[dice.randint(0, 5):dice.randint(8, len(passage))] + dice.choices(words, k=dice.randint(0, 20))
+        rows.append((dice.choice([i, i, i, i // 3, None]), dice.choice([" ", "\n", "\t "]).join(text)))
+    rows += [(1000 + i, rows[3][1]) for i in range(40)]
+    assert told_cuts(spark.createDataFrame(rows, "doc_id long, text string")) == cut_by_hand(rows)
+
+
+def test_equal_windows_name_equal_symbols():
+    dice = np.random.default_rng(11)
+    shared = dice.integers(0, 2 ** 63, 13, dtype=np.uint64)
+    names = set()
+    for _ in range(200):
+        before, after = (dice.choice(shared, n) if n % 2 else dice.integers(0, 2 ** 63, n, dtype=np.uint64) for n in dice.integers(0, 9, 2))
+        ids = np.concatenate([before, shared, after])
+        names.add(int(recompression.window_symbols(ids, np.zeros(len(ids), np.int64))[len(before)]))
+    assert len(names) == 1
+    assert names.pop() >> 58 >= 2
+
+
+def test_batches_are_read_in_place(spark):
+    """Later passes join their answers to the bucketed texts without a second shuffle of the texts."""
+    name, _, cells = recompression.batches_of_texts(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text")
+    texts = spark.table(name)
+    assert texts.groupBy().agg(F.count("*"), F.countDistinct("row")).first()[:] == (texts.count(), texts.count())
+    plan = recompression.cut_texts(texts, spark.createDataFrame([], "b long, p binary, q binary, r binary"), True)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") <= 1
+    spark.sql(f"DROP TABLE {name}")
