@@ -66,7 +66,3 @@ def blank_to_null(value: Column | str) -> Column:
     return F.nullif(_col(value), F.lit(""))
 
 
-def occurrences(text: Column, needle: Column) -> Column:
-    """Non-overlapping occurrences of a non-empty literal."""
-    removed = F.length(text) - F.length(F.replace(text, needle, F.lit("")))
-    return (removed / F.length(needle)).cast("int")

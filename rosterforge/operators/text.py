@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterforge.functions.ranking import explode_once, first_per_key, top_k_per_key
-from rosterforge.functions.strings import SPACE, clean_text, occurrences, strip_ws
+from rosterforge.functions.strings import SPACE, clean_text, strip_ws
 from rosterforge.functions.vectors import l2_normalize
 from rosterforge.operators.blocks import local_topk
+from rosterforge.session import durable_checkpoint
 
 # Words a ranking question ignores.
 STOP_WORDS = ("what", "does", "this", "that", "the", "and", "for")
@@ -32,8 +33,11 @@ TRADE_SECTION = "trade evolutions with items"
 LEVEL_SECTION = "level-up while holding item"
 
 PIECE = 2048
+# Keywords that one pass broadcasts and one matrix holds, documents in a matrix, keyword lists that meet a document at once.
+PASS_KEYWORDS = 262_144
+CHUNK_KEYWORDS = 8192
 DOC_BLOCK = 512
-QUESTION_SLICE = 1024
+ANSWER_SETS = 512
 
 
 def piece_size(size: int) -> int:
@@ -240,99 +244,136 @@ def keyword_tokens(col: Column, stop: Sequence[str] = STOP_WORDS, distinct: bool
     return F.array_except(F.array_distinct(tokens), F.array(*[F.lit(s) for s in stop])) if stop else F.array_distinct(tokens)
 
 
-def token_matches(docs: DataFrame, keywords: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Tokens of every document, and which keywords each distinct token holds how often.
-
-    A keyword is a run of letters and digits, so each of its occurrences lies inside one such run
-    of the text. Distinct tokens meet the keywords through an equi-join on their substrings of
-    the lengths that keywords really have.
-    """
-    runs = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    tokens = explode_once(docs.select(key, runs.alias("_t")), F.col("_t"), "token").where(
-        F.length("token") > 2).select(key, "token")
-    lengths = keywords.agg(F.array_sort(F.collect_set(F.length("keyword"))).alias("l")).scalar()
-    vocabulary = tokens.select("token").distinct().withColumn("_l", lengths)
-    parts = F.array_distinct(F.flatten(F.transform(
-        F.filter("_l", lambda n: n <= F.length("token")),
-        lambda n: F.transform(F.sequence(F.lit(1), F.length("token") - n + 1),
-                              lambda i: F.substring(F.col("token"), i, n)))))
-    pieces = explode_once(vocabulary.select("token", parts.alias("_p")), F.col("_p"), "keyword").drop("_p")
-    matches = pieces.join(keywords.select("keyword").distinct(), "keyword").select(
-        "token", "keyword", occurrences(F.col("token"), F.col("keyword")).alias("occ"))
-    return tokens, matches
-
-
-def keyword_counts(docs: DataFrame, keywords: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Occurrences of every keyword in every document that holds it: ``key, keyword, n``."""
-    tokens, matches = token_matches(docs, keywords, key, text)
-    return tokens.join(matches, "token").groupBy(key, "keyword").agg(F.sum("occ").alias("n"))
+def keyword_sets(questions: DataFrame, question: str = "question", distinct: bool = True) -> DataFrame:
+    """(q, set): the sorted keywords of every question, joined by spaces."""
+    return questions.select("q", F.array_join(F.array_sort(keyword_tokens(F.col(question), distinct=distinct)), " ").alias("set"))
+
+
+class KeywordAutomaton:
+    """Counts many keywords in one pass over a text; occurrences of one keyword do not overlap each other."""
+
+    def __init__(self, keywords: Sequence[str]):
+        import ahocorasick
+
+        self.size = len(keywords)
+        self.machine = ahocorasick.Automaton()
+        for number, word in enumerate(keywords):
+            self.machine.add_word(word, (number, len(word)))
+        self.machine.make_automaton()
+
+    def counts(self, text: str) -> dict[int, int]:
+        found: dict[int, int] = {}
+        last: dict[int, int] = {}
+        for end, (number, length) in self.machine.iter(text) if self.size else ():
+            if end - length >= last.get(number, -1):
+                last[number] = end
+                found[number] = found.get(number, 0) + 1
+        return found
+
+
+class SetScores:
+    """Scores of keyword sets against documents, by an automaton over all keywords of the sets."""
+
+    def __init__(self, sets: Sequence[str]):
+        split = [s.split(" ") for s in sets]
+        keywords = sorted({w for words in split for w in words})
+        number = {w: i for i, w in enumerate(keywords)}
+        self.automaton = KeywordAutomaton(keywords)
+        # Chunks of sets, so that one matrix of counts stays small: first set, keyword numbers, where each set's begin.
+        self.chunks = []
+        first = 0
+        while first < len(split):
+            numbers, starts, last = [], [], first
+            while last < len(split) and (last == first or len(numbers) + len(split[last]) <= CHUNK_KEYWORDS):
+                starts.append(len(numbers))
+                numbers += [number[w] for w in split[last]]
+                last += 1
+            used, places = np.unique(np.array(numbers), return_inverse=True)
+            self.chunks.append((first, used, places, np.array(starts)))
+            first = last
+
+    def blocks(self, texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """First set and scores (sets x texts) of every chunk."""
+        rows, cols, values = [], [], []
+        for place, text in enumerate(texts):
+            found = self.automaton.counts(text)
+            rows += found.keys()
+            values += found.values()
+            cols += [place] * len(found)
+        at, of, n = np.array(rows, "int64"), np.array(cols, "int64"), np.array(values, "int64")
+        for first, used, places, starts in self.chunks:
+            spot = np.minimum(np.searchsorted(used, at), len(used) - 1)
+            mine = used[spot] == at
+            matrix = np.zeros((len(used), len(texts)), "int64")
+            matrix[spot[mine], of[mine]] = n[mine]
+            yield first, np.add.reduceat(matrix[places], starts, axis=0)
+
+
+def _best_of(rows: pa.Table, k: int) -> pa.Table:
+    """The k best rows of every set: higher scores first, then lower ids."""
+    rows = rows.sort_by([("set", "ascending"), ("score", "descending"), ("id", "ascending")])
+    number = rows.column("set").to_numpy()
+    begins = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])[:len(number)])
+    place = np.arange(len(number)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(number)]])))
+    return rows.filter(pa.array(place < k))
 
 
 def rank_documents(questions: DataFrame, docs: DataFrame, k: int, key: str = "filename",
                    question: str = "question", text: str = "text") -> DataFrame:
     """Top-k documents per question ``q`` by summed keyword occurrences, ties by document key.
 
-    Questions with the same keywords share one keyword set. Sets and documents meet in blocks:
-    a block pair is scored as sums over a count matrix and leaves at most k documents per set,
-    so question-document pairs are never written out.
+    Questions with the same keywords share one keyword set. The sets travel to the documents in
+    passes of about PASS_KEYWORDS keywords, so what a pass broadcasts has a fixed size; there is one
+    pass unless the questions hold more. In a pass every task builds one automaton over the keywords
+    and counts each of its documents in one walk, before any shuffle. A task leaves at most k
+    documents per set. Null texts and questions without keywords rank nothing.
     """
     spark = docs.sparkSession
-    asked = questions.select("q", F.array_sort(keyword_tokens(F.col(question))).alias("_kw"))
-    asked = asked.withColumn("_set", F.array_join("_kw", " "))
-    sets = asked.where(F.col("_set") != "").select("_set").distinct()
-    slices = max(1, -(-sets.count() // QUESTION_SLICE))
-    salts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // slices))
-    sliced = sets.select("_set", F.pmod(F.xxhash64("_set"), F.lit(slices)).cast("int").alias("sub"))
-
-    # Each slice numbers its own keywords; documents carry those small numbers.
-    words = sliced.select("sub", F.explode(F.split("_set", " ")).alias("keyword")).distinct()
-    numbered = words.withColumn("kid", F.row_number().over(Window.partitionBy("sub").orderBy("keyword")) - 1)
-    coded = sliced.select("sub", "_set", F.explode(F.split("_set", " ")).alias("keyword")).join(
-        numbered, ["sub", "keyword"]).groupBy("sub", "_set").agg(F.collect_list("kid").alias("kids"))
-    packed = coded.groupBy("sub").agg(F.collect_list(F.struct("_set", "kids")).alias("s"))
-    packed = packed.select(
-        "sub", F.transform("s", lambda e: e["_set"]).alias("sets"), F.transform("s", lambda e: F.size(e["kids"])).alias("set_sizes"),
-        F.flatten(F.transform("s", lambda e: e["kids"])).alias("set_kids"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-
-    tokens, matches = token_matches(docs, words, key, text)
-    coded_tokens = matches.join(numbered, "keyword").select("token", "sub", "kid", "occ")
-    counts = tokens.join(coded_tokens, "token").groupBy("sub", F.col(key).alias("id"), "kid").agg(F.sum("occ").alias("n"))
-    bags = counts.groupBy("sub", "id").agg(F.collect_list(F.struct("kid", "n")).alias("bag"))
-    per_salt = F.greatest(F.lit(1), F.ceil(docs.agg(F.count("*")).scalar() / (DOC_BLOCK * salts))).cast("int")
-    blocks = bags.groupBy(
-        "sub", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"),
-        F.pmod(F.xxhash64("id", F.lit(7)), per_salt).alias("block"),
-    ).agg(F.array_sort(F.collect_list(F.struct("id", "bag"))).alias("d"))
-    blocks = blocks.select(
-        "sub", "salt", F.transform("d", lambda e: e["id"]).alias("ids"), F.transform("d", lambda e: F.size(e["bag"])).alias("doc_sizes"),
-        F.flatten(F.transform("d", lambda e: F.transform(e["bag"], lambda p: p["kid"]))).alias("doc_kids"),
-        F.flatten(F.transform("d", lambda e: F.transform(e["bag"], lambda p: p["n"]))).alias("doc_counts"))
-    fields = ["sets", "set_sizes", "set_kids", "ids", "doc_sizes", "doc_kids", "doc_counts"]
-    met = blocks.join(packed, ["sub", "salt"]).select(*fields)
-    schema = T.StructType([
-        T.StructField("_set", T.StringType()), T.StructField("id", docs.schema[key].dataType),
-        T.StructField("score", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                part = {f: batch.column(j).slice(i, 1).flatten() for j, f in enumerate(fields)}
-                numbers = {f: part[f].to_numpy(zero_copy_only=False) for f in fields if f not in ("sets", "ids")}
-                matrix = np.zeros((int(numbers["set_kids"].max()) + 1, len(part["ids"])), dtype="int64")
-                places = np.repeat(np.arange(len(part["ids"])), numbers["doc_sizes"])
-                matrix[numbers["doc_kids"], places] = numbers["doc_counts"]
-                starts = np.concatenate([[0], np.cumsum(numbers["set_sizes"])[:-1]])
-                scores = np.add.reduceat(matrix[numbers["set_kids"]], starts, axis=0)
-                rows, cols = local_topk(scores, k)
-                hit = scores[rows, cols] > 0
-                rows, cols = rows[hit], cols[hit]
-                yield pa.RecordBatch.from_arrays(
-                    [part["sets"].take(pa.array(rows)), part["ids"].take(pa.array(cols)), pa.array(scores[rows, cols], pa.int64())],
-                    schema.fieldNames())
-
-    best = top_k_per_key(met.mapInArrow(run, schema), ["_set"], [F.desc("score"), F.asc("id")], k)
-    return asked.select("q", "_set").join(best, "_set").select("q", "rank", F.col("id").alias(key), "score")
+    asked = keyword_sets(questions, question)
+    sets = asked.where(F.col("set") != "").select("set").distinct()
+    size = sets.agg(F.sum(F.size(F.split("set", " ")))).first()[0] or 0
+    passes = max(1, -(-size // PASS_KEYWORDS))
+    kinds = T.StructType([
+        T.StructField("set", T.StringType()), T.StructField("id", docs.schema[key].dataType), T.StructField("score", T.LongType())])
+    spoken = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.lower(text).alias("low"))
+
+    def ranked(names: list[str]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(names)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = shared.value
+            scores = SetScores(names)
+            best: list[pa.Table] = []
+            held = 0
+            for batch in batches:
+                table = pa.Table.from_batches([batch]).sort_by("id")
+                for start in range(0, table.num_rows, DOC_BLOCK):
+                    part = table.slice(start, DOC_BLOCK)
+                    ids = part.column("id").combine_chunks()
+                    for first, block in scores.blocks(part.column("low").to_pylist()):
+                        rows, cols = local_topk(block, k)
+                        hit = block[rows, cols] > 0
+                        rows, cols = rows[hit], cols[hit]
+                        best.append(pa.table([pa.array(first + rows), ids.take(pa.array(cols)), pa.array(block[rows, cols])], ["set", "id", "score"]))
+                        held += len(rows)
+                    if held > 4 * k * len(names) + 100_000:
+                        best = [_best_of(pa.concat_tables(best), k)]
+                        held = best[0].num_rows
+            if held:
+                told = _best_of(pa.concat_tables(best), k)
+                named = pa.array(names, pa.string()).take(told.column("set").combine_chunks())
+                yield from pa.table([named, told.column("id"), told.column("score")], kinds.fieldNames()).to_batches()
+
+        return spoken.mapInArrow(run, kinds)
+
+    if k <= 0:
+        return asked.join(spark.createDataFrame([], kinds), "set").select("q", F.lit(0).alias("rank"), F.col("id").alias(key), "score")
+    hits = None
+    for turn in range(passes):
+        names = [r[0] for r in sets.where(F.pmod(F.xxhash64("set"), F.lit(passes)) == turn).collect()]
+        hits = ranked(names) if hits is None else hits.unionByName(ranked(names))
+    best = top_k_per_key(hits, ["set"], [F.desc("score"), F.asc("id")], k)
+    return asked.join(best, "set").select("q", "rank", F.col("id").alias(key), "score")
 
 
 def compact_answer(paragraph: Column) -> Column:
@@ -344,29 +385,42 @@ def compact_answer(paragraph: Column) -> Column:
     return bind(strip_ws(F.regexp_replace(paragraph, "(?U)\\s+", " ")), cut)
 
 
+def paragraphs(text: str) -> Column:
+    """The parts between blank lines, stripped; the whole text where all are empty."""
+    pieces = F.filter(F.transform(F.split(text, "\\n(?U:\\s*)\\n"), lambda p: strip_ws(p)), lambda p: p != "")
+    return bind(pieces, lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(strip_ws(text))))
+
+
 def extract_answer(ranked: DataFrame, questions: DataFrame, docs: DataFrame, key: str = "filename",
                    question: str = "question", text: str = "text") -> DataFrame:
     """Answer from the best paragraph of the best document; a fixed sentence when none ranked.
 
-    Paragraphs of the chosen documents are counted once, however many questions chose them;
-    questions then only join small keyword counts and short answers.
+    A document is scored once per distinct list of keywords that chose it. The lists of a document
+    come in shares of about ANSWER_SETS, so one that answers a third of all questions is split over
+    many tasks. ``docs`` holds one row per key.
     """
-    best = ranked.where(F.col("rank") == 1).select("q", key)
-    chosen = docs.select(key, text).join(best.select(key).distinct(), key, "left_semi")
-    pieces = F.filter(F.transform(F.split(text, "\\n(?U:\\s*)\\n"), lambda p: strip_ws(p)), lambda p: p != "")
-    pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(strip_ws(text)))
-    parts = explode_once(chosen.select(key, pieces.alias("_p")), F.col("_p"), "p", "i").drop("_p")
-    parts = parts.withColumn("place", F.concat_ws("|", F.col(key).cast("string"), F.col("i").cast("string")))
-    words = questions.select("q", F.explode(keyword_tokens(F.col(question), distinct=False)).alias("keyword"))
-    words = words.groupBy("q", "keyword").agg(F.count("*").alias("times"))
-    counts = keyword_counts(parts, words.select("keyword"), "place", "p")
-    counts = counts.join(parts.select("place", key, "i"), "place").drop("place")
-    scored = words.join(best, "q").join(counts, [key, "keyword"]).groupBy("q", key, "i").agg(
-        F.sum(F.col("times") * F.col("n")).alias("s"))
-    picked = scored.groupBy("q").agg(F.min_by("i", F.struct((-F.col("s")).alias("s"), "i")).alias("i"))
-    answers = parts.select(key, "i", compact_answer(F.col("p")).alias("answer"))
-    place = best.join(picked, "q", "left").withColumn("i", F.coalesce("i", F.lit(0)))
-    found = place.join(answers, [key, "i"]).select("q", key, "answer")
+    best = durable_checkpoint(ranked.where(F.col("rank") == 1).select("q", key))
+    asked = keyword_sets(questions, question, distinct=False)
+    wanted = best.join(asked, "q").select(key, "set").distinct()
+    shares = wanted.groupBy(key).agg(F.ceil(F.count("*") / ANSWER_SETS).alias("_shares"))
+    lists = wanted.join(shares, key).withColumn("_share", F.pmod(F.xxhash64("set"), "_shares")).groupBy(key, "_share").agg(F.collect_list("set").alias("_sets"))
+    met = lists.join(docs.select(key, F.col(text).alias("_text")), key).withColumn("_p", paragraphs("_text"))
+    met = met.select(F.col(key).alias("id"), F.col("_sets").alias("sets"), F.col("_p").alias("parts"), F.transform("_p", lambda p: F.lower(p)).alias("low"))
+    kinds = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("set", T.StringType()), T.StructField("part", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sets, parts = [], [], []
+            for place, (names, said, low) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                for first, block in SetScores(names).blocks(low):
+                    # The first of the best paragraphs; the first one if none holds a keyword.
+                    parts += [said[i] for i in block.argmax(axis=1)]
+                    sets += names[first:first + len(block)]
+                    ids += [place] * len(block)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(sets, pa.string()), pa.array(parts, pa.string())], kinds.fieldNames())
+
+    answers = met.mapInArrow(run, kinds).select(F.col("id").alias(key), "set", compact_answer(F.col("part")).alias("answer"))
+    found = best.join(asked, "q").join(answers, [key, "set"]).select("q", key, "answer")
     return questions.select("q").join(found, "q", "left").select(
         "q", F.coalesce("answer", F.lit(NO_ANSWER)).alias("answer"), F.coalesce(key, F.lit(NO_SOURCE)).alias("source"))
 
