@@ -1,149 +1,148 @@
-"""Exact all-against-all scoring in bounded blocks.
+"""Exact top-k by inner product with pivot bounds.
 
-Vectors are packed into blocks of a few thousand rows. Every (query slice, base block) pair meets
-through an equi-join on (group, slice, salt), is scored as one matrix product inside an Arrow
-batch, and leaves at most k rows per query. Pairs of rows are never emitted; the surviving rows
-are cut again before the shuffle by the window group limit of the final top-k.
+A cell holds at most ``|q| * radius`` more inner product with a query than its pivot does. Pivots are
+stored vectors, so the k-th best pivot is a score that k rows reach; cells whose bound is below it are
+never visited. The others are visited best bound first, and the score to reach rises on the way.
+
+Cells are packed into bins of ``RESIDENT_ROWS`` rows. Rows and queries meet on a grid of (query
+slice, bin): the base is copied once per slice, and there are as many slices as keep the cluster busy,
+however many queries come. A query is copied once per bin that its bounds cannot exclude.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterforge.functions.ranking import top_k_per_key
-
-SLICE_ROWS = 1024
-BLOCK_ROWS = 2048
-
-
-def list_matrix(column: pa.ListArray, rows: int) -> np.ndarray:
-    """A list column with equal lengths as a two-dimensional float64 array."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64", copy=False)
-    return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
-
-
-def _one_row(names, keys, ids: pa.Array, flat: np.ndarray) -> pa.RecordBatch:
-    offsets = pa.array([0, len(ids)], pa.int32())
-    vec_offsets = pa.array([0, flat.size], pa.int32())
-    return pa.RecordBatch.from_arrays(
-        [*[pa.array([k]) for k in keys], pa.ListArray.from_arrays(offsets, ids),
-         pa.ListArray.from_arrays(vec_offsets, pa.array(flat.ravel(), pa.float64()))], names)
-
-
-def pack_blocks(df: DataFrame, id_col: str, vec_col: str, group: str = "bg") -> DataFrame:
-    """One row per group and Arrow batch: sorted ids and their vectors end to end. No shuffle."""
-    id_type = df.schema[id_col].dataType
-    schema = T.StructType([
-        T.StructField(group, T.StringType()), T.StructField("ids", T.ArrayType(id_type)),
-        T.StructField("flat", T.ArrayType(T.DoubleType()))])
-    rows = df.select(F.col(group).cast("string").alias(group), id_col, vec_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            table = pa.Table.from_batches([batch]).sort_by([(group, "ascending"), (id_col, "ascending")])
-            table = table.combine_chunks()
-            groups = table.column(group).combine_chunks()
-            ids = table.column(id_col).combine_chunks()
-            vectors = list_matrix(table.column(vec_col).combine_chunks(), batch.num_rows)
-            names = groups.to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)]
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                for start in range(lo, hi, BLOCK_ROWS):
-                    end = min(start + BLOCK_ROWS, hi)
-                    yield _one_row([group, "ids", "flat"], [names[start]], ids[start:end], vectors[start:end])
-
-    return rows.mapInArrow(run, schema)
-
-
-def local_topk(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column positions of the k best per row; equal scores go to the lower column."""
-    n, m = scores.shape
-    if m <= k:
-        return np.repeat(np.arange(n), m), np.tile(np.arange(m), n)
-    edge = np.partition(scores, m - k, axis=1)[:, m - k]
-    kept = scores >= edge[:, None]
-    crowded = np.flatnonzero(kept.sum(axis=1) > k)
-    if len(crowded):
-        order = np.argsort(-scores[crowded], axis=1, kind="stable")[:, :k]
-        kept[crowded] = False
-        kept[np.repeat(crowded, k), order.ravel()] = True
-    return np.nonzero(kept)
-
-
-def meet(queries: DataFrame, base: DataFrame, query_id: str, query_vec: str, base_id: str, base_vec: str,
-         pools: DataFrame | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Rows of (qids, qflat, ids, flat), one per query slice and base block.
-
-    ``queries`` may carry a group ``qg`` and ``base`` a group ``bg``; ``pools`` (qg, bg) names
-    the groups that meet. Without groups everything meets. The salt spreads one slice over many
-    tasks, so a single query slice still uses the whole cluster.
+from rosterforge.operators.cells import RESIDENT_ROWS, SLACK, Cells, common_size, homes, local_topk, pivot_cells, sound, stream_past, vector_matrix
+
+EVERY = "\u0001every"
+
+
+def packed_bins(cells: Cells, resident_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First bin and number of bins of every cell: near cells share a bin, a large cell is spread over several."""
+    left = set(range(len(cells.rows)))
+    first, spread = np.zeros(len(cells.rows), "int64"), np.ones(len(cells.rows), "int64")
+    at, filled, now = 0, 0, 0
+    while left:
+        left.discard(now)
+        if filled and filled + cells.rows[now] > resident_rows:
+            at, filled = at + 1, 0
+        first[now], spread[now] = at, max(1, -(-int(cells.rows[now]) // resident_rows))
+        filled += cells.rows[now]
+        if spread[now] > 1:
+            at, filled = at + int(spread[now]), 0
+        if left:
+            rest = np.array(sorted(left))
+            now = int(rest[((cells.pivots[rest] - cells.pivots[now]) ** 2).sum(axis=1).argmin()])
+    return first, spread
+
+
+def blocked_topk(queries: DataFrame, base: DataFrame, k: int, query_id: str, query_vec: str, base_id: str, base_vec: str,
+                 pools: DataFrame | None = None, resident_rows: int = RESIDENT_ROWS) -> DataFrame:
+    """Exact top-k by inner product: ``q, id, score, rank``; ties go to the lower id.
+
+    ``queries`` may carry a group ``qg`` and ``base`` a group ``bg``; ``pools`` (qg, bg) names the
+    groups that meet, and the base group ``EVERY`` holds all rows. Base rows whose vector is null, holds nulls or non-finite values, or has
+    another length than most are no candidates; such queries have no hits.
     """
     spark = base.sparkSession
-    if "qg" not in queries.columns:
-        queries = queries.withColumn("qg", F.lit("all"))
-    if "bg" not in base.columns:
-        base = base.withColumn("bg", F.lit("all"))
-    slices = max(1, -(-queries.count() // slice_rows))
-    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, -(-parallel // slices))
-    sub = F.pmod(F.xxhash64(query_id), F.lit(slices)).cast("int")
-    packed = queries.select(
-        F.col("qg").cast("string").alias("qg"), sub.alias("sub"), F.col(query_id).alias("_q"),
-        F.transform(query_vec, lambda x: x.cast("double")).alias("_v"),
-    ).groupBy("qg", "sub").agg(F.collect_list(F.struct("_q", "_v")).alias("rows"))
-    packed = packed.select(
-        "qg", "sub", F.transform("rows", lambda r: r["_q"]).alias("qids"),
-        F.flatten(F.transform("rows", lambda r: r["_v"])).alias("qflat"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    blocks = pack_blocks(base, base_id, base_vec)
-    if pools is None:
-        blocks = blocks.withColumn("qg", F.col("bg"))
-    else:
-        blocks = blocks.join(pools.select("qg", "bg"), "bg")
-    blocks = blocks.select(
-        "qg", "ids", "flat", F.pmod(F.xxhash64(F.get("ids", F.lit(0)), F.size("ids")), F.lit(salts)).cast("int").alias("salt"),
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("sub"))
-    return blocks.join(packed, ["qg", "sub", "salt"]).select("qids", "qflat", "ids", "flat")
-
-
-def score_blocks(met: DataFrame, schema: T.StructType,
-                 reduce: Callable[[pa.Array, np.ndarray, pa.Array, np.ndarray], list[pa.Array]]) -> DataFrame:
-    """Apply ``reduce(qids, q, ids, b)`` to every met row; it returns the output columns."""
-    names = schema.fieldNames()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                qids, ids = row.column(0).flatten(), row.column(2).flatten()
-                q = list_matrix(row.column(1), len(qids))
-                b = list_matrix(row.column(3), len(ids))
-                yield pa.RecordBatch.from_arrays(reduce(qids, q, ids, b), names)
-
-    return met.mapInArrow(run, schema)
-
-
-def blocked_topk(queries: DataFrame, base: DataFrame, k: int, query_id: str, query_vec: str,
-                 base_id: str, base_vec: str, pools: DataFrame | None = None) -> DataFrame:
-    """Exact top-k by inner product: ``q, id, score, rank``; ties go to the lower id."""
-    schema = T.StructType([
+    kinds = T.StructType([
         T.StructField("q", queries.schema[query_id].dataType), T.StructField("id", base.schema[base_id].dataType),
         T.StructField("score", T.DoubleType())])
-    if k <= 0:
-        return base.sparkSession.createDataFrame([], schema.add("rank", T.IntegerType()))
-
-    def reduce(qids, q, ids, b):
-        scores = q @ b.T
-        rows, cols = local_topk(scores, k)
-        return [qids.take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(scores[rows, cols], pa.float64())]
-
-    hits = score_blocks(meet(queries, base, query_id, query_vec, base_id, base_vec, pools), schema, reduce)
+    nothing = spark.createDataFrame([], T.StructType([*kinds.fields, T.StructField("rank", T.IntegerType())]))
+    size, rows = common_size(base, base_vec)
+    if k <= 0 or size <= 0:
+        return nothing
+    asked = queries.where(sound(query_vec, size))
+    stored = base.where(sound(base_vec, size))
+    cells = pivot_cells(stored, base_id, base_vec, size, rows)
+    if not len(cells.pivots):
+        return nothing
+    first, spread = packed_bins(cells, resident_rows)
+    bins = int((first + spread).max())
+    # The best pivots bound a query's k-th score only where every row is a candidate.
+    bounded = pools is None and len(cells.pivots) >= k
+    slices = max(1, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // bins)) if pools is None else 1
+
+    def bounds(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Most that each cell can hold for a query, and the score to reach."""
+        near = vectors @ cells.pivots.T
+        reach = np.sort(near, axis=1)[:, -k] if bounded else np.full(len(vectors), -np.inf)
+        reach = reach - SLACK * (1 + np.abs(reach))
+        length = np.sqrt((vectors * vectors).sum(axis=1))
+        most = near + length[:, None] * cells.radius[None, :]
+        return most + SLACK * (1 + np.abs(most)), reach
+
+    visit_kinds = T.StructType([T.StructField("id", queries.schema[query_id].dataType), T.StructField("grp", T.StringType()),
+                                T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("bin", T.LongType())])
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            most, reach = bounds(vector_matrix(batch.column(2)))
+            alive = (most >= reach[:, None]) & (cells.rows > 0)[None, :]
+            open_ = np.zeros((batch.num_rows, bins), bool)
+            for c in range(len(first)):
+                open_[:, first[c]:first[c] + spread[c]] |= alive[:, c][:, None]
+            who, where = np.nonzero(open_)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(who)) for i in range(3)), pa.array(where, pa.int64())], visit_kinds.fieldNames())
+
+    q = asked.select(F.col(query_id).alias("id"), (F.col("qg").cast("string") if "qg" in queries.columns else F.lit("all")).alias("grp"),
+                     F.transform(query_vec, lambda x: x.cast("double")).alias("vector")).mapInArrow(visits, visit_kinds)
+    q = q.select("id", "grp", "vector", "bin", F.pmod(F.xxhash64("id"), F.lit(slices)).alias("slice"))
+    if pools is None:
+        b = homes(stored, base_id, base_vec, cells).withColumn("grp", F.lit("all"))
+    else:
+        both = F.explode(F.array(F.col("bg").cast("string"), F.lit(EVERY)))
+        b = homes(stored, base_id, base_vec, cells, "bg").withColumn("bg", both).join(pools.select(F.col("qg").cast("string").alias("grp"), "bg"), "bg")
+    place = F.lit(first.tolist())[F.col("cell")] + F.pmod(F.xxhash64("id"), F.lit(spread.tolist())[F.col("cell")])
+    b = b.select("id", "grp", "vector", "cell", place.alias("bin")).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    absent = F.lit(None)
+    met = b.select(F.xxhash64("grp").alias("pool"), "bin", "slice", F.lit(0).alias("kind"), "cell", "vector", F.col("id").alias("base"), absent.cast(kinds["q"].dataType).alias("asked")).unionByName(
+        q.select(F.xxhash64("grp").alias("pool"), "bin", "slice", F.lit(1).alias("kind"), absent.cast("int").alias("cell"), "vector", absent.cast(kinds["id"].dataType).alias("base"), F.col("id").alias("asked")))
+
+    def start(residents: pa.Table):
+        residents = residents.sort_by([("cell", "ascending"), ("base", "ascending")])
+        ids = residents.column("base").combine_chunks()
+        vectors = vector_matrix(residents.column("vector"))
+        cell = residents.column("cell").to_numpy()
+        names, starts = np.unique(cell, return_index=True)
+        stops = np.concatenate([starts[1:], [len(cell)]])
+
+        def handle(part: pa.Table) -> pa.RecordBatch | None:
+            wanted = vector_matrix(part.column("vector"))
+            most, reach = bounds(wanted)
+            best = np.full((len(wanted), k), -np.inf)
+            spots = np.full((len(wanted), k), -1)
+            # Cells in the order of their best bound; a query skips a cell whose bound its k-th score has passed.
+            for c in np.argsort(-most[:, names].max(axis=0), kind="stable"):
+                open_ = np.flatnonzero(most[:, names[c]] >= np.maximum(reach, best[:, -1]))
+                if not len(open_):
+                    continue
+                lo, hi = starts[c], stops[c]
+                scores = wanted[open_] @ vectors[lo:hi].T
+                depth = min(k, hi - lo)
+                rows, cols = local_topk(scores, depth)
+                new = scores[rows, cols].reshape(len(open_), depth), (lo + cols).reshape(len(open_), depth)
+                both = np.concatenate([best[open_], new[0]], axis=1), np.concatenate([spots[open_], new[1]], axis=1)
+                # Equal scores: the lower id, known by its rank among the residents; empty places come last.
+                order = np.lexsort((np.where(both[1] < 0, len(rank), rank[both[1]]), -both[0]), axis=1)[:, :k]
+                best[open_], spots[open_] = np.take_along_axis(both[0], order, 1), np.take_along_axis(both[1], order, 1)
+            who, deep = np.nonzero(spots >= 0)
+            return pa.RecordBatch.from_arrays([part.column("asked").combine_chunks().take(pa.array(who)), ids.take(pa.array(spots[who, deep])), pa.array(best[who, deep])], kinds.fieldNames())
+
+        rank = np.empty(len(ids), "int64")
+        rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        return handle
+
+    hits = stream_past(met, ["pool", "bin", "slice"], kinds, start)
     return top_k_per_key(hits, ["q"], [F.desc("score"), F.asc("id")], k)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rosterforge.operators.blocks import meet, score_blocks
+from rosterforge.operators.cells import SLACK, Cells, common_size, pivot_cells, sound, stream_past, vector_matrix
 from rosterforge.session import durable_checkpoint
 
 SEED = 42
 MAX_COMPONENTS = 50
 NOISE = -1
+HOME_ROWS = 2048
 
 
 def reduce_features(df: DataFrame, vec: str = "vector") -> DataFrame:
@@ -70,49 +74,117 @@ def _components(points: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
             return labels.select(F.col("u").alias(id_col), "label")
 
 
+def near_cells(points: DataFrame, cells: Cells, eps: float) -> DataFrame:
+    """(cell, home, id, vector): every point in its own cell and, as a guest, in each cell that may hold neighbours.
+
+    A cell is ruled out if the point lies further than ``eps`` beyond its radius, or if the point is so
+    much nearer to its own pivot that no point of the cell can be within ``eps``.
+    """
+    kinds = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("home", T.BooleanType()), *points.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            far = cells.distances(vector_matrix(batch.column(1)))
+            own = far.argmin(axis=1)
+            least = far[np.arange(len(own)), own][:, None]
+            room = eps * (1 + SLACK) + SLACK
+            open_ = (far - cells.radius[None, :] <= room) & (far - least <= 2 * room) & (cells.rows > 0)[None, :]
+            open_[np.arange(len(own)), own] = True
+            who, cell = np.nonzero(open_)
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(own[who] == cell), *(c.take(pa.array(who)) for c in batch.columns)], kinds.fieldNames())
+
+    return points.mapInArrow(run, kinds)
+
+
+def _met(residents: DataFrame, others: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Residents dealt over their cell's blocks, and every other row once per block of its cell."""
+    sized = residents.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), "blocks")).withColumn("kind", F.lit(0))
+    passing = others.join(blocks, "cell").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumn("kind", F.lit(1))
+    return sized.unionByName(passing).drop("blocks")
+
+
+def _blocks(residents: DataFrame) -> DataFrame:
+    return residents.groupBy("cell").agg(F.ceil(F.count("*") / HOME_ROWS).alias("blocks"))
+
+
 def density_clusters(df: DataFrame, eps: float, min_samples: int, id_col: str = "id", vec: str = "vector") -> DataFrame:
     """Density clusters: ``id, cluster, is_core``; the label is the smallest core id, noise is -1.
 
-    Neighbour counts, links between cores and border labels all come from block products that
-    leave one value or one link per vertex and block, never one row per pair.
+    Points meet inside pivot cells only: a cell's own points, in blocks of bounded size, stay in a task
+    while the cell's points and guests stream past. A point's neighbours are all in its own cell's
+    stream, so counts need no second sum. Links leave at most one row per point and batch. Ids of any
+    type that orders; noise is -1 in that type. Points whose vector is null, holds nulls or non-finite
+    values, or has another length than most are noise.
     """
-    points = df.select(F.col(id_col).cast("bigint").alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("vector"))
-    count_schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType())])
-    link_schema = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
-
-    def count(qids, q, ids, b):
-        return [qids, pa.array(_within(q, b, eps).sum(axis=1), pa.int64())]
-
-    def link(qids, q, ids, b):
-        near = _within(q, b, eps)
-        left, right = qids.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
-        a, c = left.copy(), right.copy()
-        big = np.iinfo("int64").max
-        while True:
-            down = np.minimum(c, np.where(near, a[:, None], big).min(axis=0))
-            up = np.minimum(a, np.where(near, down[None, :], big).min(axis=1))
-            if np.array_equal(down, c) and np.array_equal(up, a):
-                break
-            a, c = up, down
-        u, v = np.concatenate([left, right]), np.concatenate([a, c])
-        keep = u != v
-        return [pa.array(u[keep], pa.int64()), pa.array(v[keep], pa.int64())]
-
-    def nearest_label(qids, q, labels, b):
-        near = _within(q, b, eps)
-        found = near.any(axis=1)
-        best = np.where(near, labels.to_numpy(zero_copy_only=False)[None, :], np.iinfo("int64").max).min(axis=1)
-        return [qids.filter(pa.array(found)), pa.array(best[found], pa.int64())]
-
-    counts = score_blocks(meet(points, points, "id", "vector", "id", "vector"), count_schema, count)
-    counted = counts.groupBy("id").agg(F.sum("n").alias("n"))
-    flagged = durable_checkpoint(points.join(counted, "id").withColumn("is_core", F.col("n") >= min_samples).drop("n"))
-    cores, others = flagged.where("is_core"), flagged.where("not is_core")
-    links = score_blocks(meet(cores, cores, "id", "vector", "id", "vector"), link_schema, link).distinct()
-    labels = _components(cores, links, "id")
-    labelled = cores.join(labels, "id").select("label", "vector")
-    border = score_blocks(meet(others, labelled, "id", "vector", "label", "vector"), count_schema, nearest_label)
-    border = border.groupBy("id").agg(F.min("n").alias("label"))
+    kind = df.schema[id_col].dataType
+    size, rows = common_size(df, vec)
+    every = df.select(F.col(id_col).alias("id"))
+    noise = F.lit(NOISE).cast(kind)
+    if not size:
+        return every.select(F.col("id").alias(id_col), noise.alias("cluster"), F.lit(False).alias("is_core"))
+    points = df.where(sound(vec, size)).select(F.col(id_col).alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("vector"))
+    cells = pivot_cells(points, "id", "vector", size, rows)
+    placed = durable_checkpoint(near_cells(points, cells, eps))
+    count_schema = T.StructType([T.StructField("id", kind), T.StructField("n", T.LongType())])
+    link_schema = T.StructType([T.StructField("u", kind), T.StructField("v", kind)])
+
+    def ranked(*ids: pa.Array) -> tuple[pa.Array, list[np.ndarray]]:
+        """Sorted distinct ids, and each list as places in them."""
+        both = pa.concat_arrays(ids)
+        names = pc.unique(both)
+        names = names.take(pc.sort_indices(names))
+        places = pc.index_in(both, names).to_numpy(zero_copy_only=False).astype("int64")
+        return names, np.split(places, np.cumsum([len(i) for i in ids])[:-1])
+
+    def count(residents: pa.Table):
+        mine, ids = vector_matrix(residents.column("vector")), residents.column("id").combine_chunks()
+        return lambda part: pa.RecordBatch.from_arrays(
+            [ids, pa.array(_within(mine, vector_matrix(part.column("vector")), eps).sum(axis=1), pa.int64())], count_schema.fieldNames())
+
+    def link(residents: pa.Table):
+        mine, ids = vector_matrix(residents.column("vector")), residents.column("id").combine_chunks()
+
+        def handle(part: pa.Table) -> pa.RecordBatch:
+            near = _within(mine, vector_matrix(part.column("vector")), eps)
+            names, (left, right) = ranked(ids, part.column("id").combine_chunks())
+            a, c = left.copy(), right.copy()
+            while True:
+                down = np.minimum(c, np.where(near, a[:, None], len(names)).min(axis=0))
+                up = np.minimum(a, np.where(near, down[None, :], len(names)).min(axis=1))
+                if np.array_equal(down, c) and np.array_equal(up, a):
+                    break
+                a, c = up, down
+            u, v = np.concatenate([left, right]), np.concatenate([a, c])
+            keep = u != v
+            return pa.RecordBatch.from_arrays([names.take(pa.array(u[keep])), names.take(pa.array(v[keep]))], link_schema.fieldNames())
+
+        return handle
+
+    def nearest_label(residents: pa.Table):
+        mine, ids = vector_matrix(residents.column("vector")), residents.column("id").combine_chunks()
+
+        def handle(part: pa.Table) -> pa.RecordBatch:
+            near = _within(mine, vector_matrix(part.column("vector")), eps)
+            names, (labels,) = ranked(part.column("label").combine_chunks())
+            found = near.any(axis=1)
+            best = np.where(near, labels[None, :], len(names)).min(axis=1)
+            return pa.RecordBatch.from_arrays([ids.filter(pa.array(found)), names.take(pa.array(best[found]))], link_schema.fieldNames())
+
+        return handle
+
+    keys = ["cell", "block"]
+    blocks = _blocks(placed.where("home"))
+    counted = stream_past(_met(placed.where("home"), placed, blocks), keys, count_schema, count).groupBy("id").agg(F.sum("n").alias("n"))
+    flags = durable_checkpoint(counted.select("id", (F.col("n") >= min_samples).alias("is_core")))
+    cores = placed.join(flags.where("is_core").select("id"), "id", "left_semi")
+    others = placed.where("home").join(flags.where("not is_core").select("id"), "id", "left_semi")
+    links = stream_past(_met(cores.where("home"), cores, blocks), keys, link_schema, link).distinct()
+    labels = _components(flags.where("is_core"), links, "id")
+    labelled = cores.join(labels, "id")
+    rim = _met(others.withColumn("label", F.lit(None).cast(kind)), labelled.select("cell", "home", "id", "vector", "label"), blocks)
+    border = stream_past(rim, keys, link_schema, nearest_label).groupBy(F.col("u").alias("id")).agg(F.min("v").alias("label"))
     found = labels.unionByName(border)
-    return flagged.select("id", "is_core").join(found, "id", "left").select(
-        F.col("id").alias(id_col), F.coalesce("label", F.lit(NOISE).cast("bigint")).alias("cluster"), "is_core")
+    return every.join(flags, "id", "left").join(found, "id", "left").select(
+        F.col("id").alias(id_col), F.coalesce("label", noise).alias("cluster"), F.coalesce("is_core", F.lit(False)).alias("is_core"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from rosterforge.functions.ranking import explode_once, first_per_key, top_k_per_key
 from rosterforge.functions.strings import SPACE, clean_text, strip_ws
 from rosterforge.functions.vectors import l2_normalize
-from rosterforge.operators.blocks import local_topk
+from rosterforge.operators.cells import local_topk
 from rosterforge.session import durable_checkpoint
 
 # Words a ranking question ignores.
@@ -33,10 +34,10 @@ TRADE_SECTION = "trade evolutions with items"
 LEVEL_SECTION = "level-up while holding item"
 
 PIECE = 2048
-# Keywords that one pass broadcasts and one matrix holds, documents in a matrix, keyword lists that meet a document at once.
+# Keywords that one pass broadcasts, scores that one matrix holds, keyword lists that meet a document at once.
 PASS_KEYWORDS = 262_144
-CHUNK_KEYWORDS = 8192
-DOC_BLOCK = 512
+BLOCK_SCORES = 1_000_000
+COMMON_SETS = 32
 ANSWER_SETS = 512
 
 
@@ -249,25 +250,29 @@ def keyword_sets(questions: DataFrame, question: str = "question", distinct: boo
     return questions.select("q", F.array_join(F.array_sort(keyword_tokens(F.col(question), distinct=distinct)), " ").alias("set"))
 
 
+def overlaps_itself(word: str) -> bool:
+    """Whether two occurrences of a word can share characters."""
+    return any(word.startswith(word[i:]) for i in range(1, len(word)))
+
+
 class KeywordAutomaton:
     """Counts many keywords in one pass over a text; occurrences of one keyword do not overlap each other."""
 
     def __init__(self, keywords: Sequence[str]):
         import ahocorasick
 
-        self.size = len(keywords)
+        self.keywords = keywords
+        self.doubtful = {i for i, w in enumerate(keywords) if overlaps_itself(w)}
         self.machine = ahocorasick.Automaton()
         for number, word in enumerate(keywords):
-            self.machine.add_word(word, (number, len(word)))
+            self.machine.add_word(word, number)
         self.machine.make_automaton()
 
     def counts(self, text: str) -> dict[int, int]:
-        found: dict[int, int] = {}
-        last: dict[int, int] = {}
-        for end, (number, length) in self.machine.iter(text) if self.size else ():
-            if end - length >= last.get(number, -1):
-                last[number] = end
-                found[number] = found.get(number, 0) + 1
+        found = Counter([number for _, number in self.machine.iter(text)]) if self.keywords else Counter()
+        for number in self.doubtful.intersection(found):
+            if found[number] > 1:
+                found[number] = text.count(self.keywords[number])
         return found
 
 
@@ -279,34 +284,33 @@ class SetScores:
         keywords = sorted({w for words in split for w in words})
         number = {w: i for i, w in enumerate(keywords)}
         self.automaton = KeywordAutomaton(keywords)
-        # Chunks of sets, so that one matrix of counts stays small: first set, keyword numbers, where each set's begin.
-        self.chunks = []
-        first = 0
-        while first < len(split):
-            numbers, starts, last = [], [], first
-            while last < len(split) and (last == first or len(numbers) + len(split[last]) <= CHUNK_KEYWORDS):
-                starts.append(len(numbers))
-                numbers += [number[w] for w in split[last]]
-                last += 1
-            used, places = np.unique(np.array(numbers), return_inverse=True)
-            self.chunks.append((first, used, places, np.array(starts)))
-            first = last
-
-    def blocks(self, texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray]]:
-        """First set and scores (sets x texts) of every chunk."""
-        rows, cols, values = [], [], []
-        for place, text in enumerate(texts):
-            found = self.automaton.counts(text)
-            rows += found.keys()
-            values += found.values()
-            cols += [place] * len(found)
-        at, of, n = np.array(rows, "int64"), np.array(cols, "int64"), np.array(values, "int64")
-        for first, used, places, starts in self.chunks:
-            spot = np.minimum(np.searchsorted(used, at), len(used) - 1)
-            mine = used[spot] == at
-            matrix = np.zeros((len(used), len(texts)), "int64")
-            matrix[spot[mine], of[mine]] = n[mine]
-            yield first, np.add.reduceat(matrix[places], starts, axis=0)
+        owner = np.repeat(np.arange(len(split)), [len(words) for words in split])
+        named = np.array([number[w] for words in split for w in words], "int64")
+        # Keywords of many sets are columns of one matrix; each of the others lists its sets, once per time they hold it.
+        common = np.bincount(named, minlength=len(keywords)) > COMMON_SETS
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        self.matrix = np.zeros((len(split), int(common.sum())))
+        np.add.at(self.matrix, (owner[common[named]], self.column[named[common[named]]]), 1.0)
+        order = np.argsort(named, kind="stable")
+        order = order[~common[named[order]]]
+        self.holders = owner[order]
+        self.begins = np.searchsorted(named[order], np.arange(len(keywords) + 1))
+
+    def scores(self, texts: Sequence[str]) -> np.ndarray:
+        """Scores, sets x texts."""
+        counts = [self.automaton.counts(text) for text in texts]
+        at = np.fromiter((w for c in counts for w in c), "int64")
+        n = np.fromiter((v for c in counts for v in c.values()), "float64")
+        of = np.repeat(np.arange(len(texts)), [len(c) for c in counts])
+        common = self.column[at] >= 0
+        dense = np.zeros((self.matrix.shape[1], len(texts)))
+        dense[self.column[at[common]], of[common]] = n[common]
+        at, n, of = at[~common], n[~common], of[~common]
+        size = self.begins[at + 1] - self.begins[at]
+        place = np.repeat(self.begins[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        cell = self.holders[place] * len(texts) + np.repeat(of, size)
+        rare = np.bincount(cell, np.repeat(n, size), len(self.matrix) * len(texts)).reshape(len(self.matrix), len(texts))
+        return (self.matrix @ dense + rare).astype("int64")
 
 
 def _best_of(rows: pa.Table, k: int) -> pa.Table:
@@ -343,19 +347,19 @@ def rank_documents(questions: DataFrame, docs: DataFrame, k: int, key: str = "fi
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = shared.value
             scores = SetScores(names)
+            block_rows = max(1, BLOCK_SCORES // max(1, len(names)))
             best: list[pa.Table] = []
             held = 0
             for batch in batches:
                 table = pa.Table.from_batches([batch]).sort_by("id")
-                for start in range(0, table.num_rows, DOC_BLOCK):
-                    part = table.slice(start, DOC_BLOCK)
-                    ids = part.column("id").combine_chunks()
-                    for first, block in scores.blocks(part.column("low").to_pylist()):
-                        rows, cols = local_topk(block, k)
-                        hit = block[rows, cols] > 0
-                        rows, cols = rows[hit], cols[hit]
-                        best.append(pa.table([pa.array(first + rows), ids.take(pa.array(cols)), pa.array(block[rows, cols])], ["set", "id", "score"]))
-                        held += len(rows)
+                for start in range(0, table.num_rows, block_rows):
+                    part = table.slice(start, block_rows)
+                    block = scores.scores(part.column("low").to_pylist())
+                    rows, cols = local_topk(block, k)
+                    hit = block[rows, cols] > 0
+                    rows, cols = rows[hit], cols[hit]
+                    best.append(pa.table([pa.array(rows), part.column("id").combine_chunks().take(pa.array(cols)), pa.array(block[rows, cols])], ["set", "id", "score"]))
+                    held += len(rows)
                     if held > 4 * k * len(names) + 100_000:
                         best = [_best_of(pa.concat_tables(best), k)]
                         held = best[0].num_rows
@@ -412,11 +416,10 @@ def extract_answer(ranked: DataFrame, questions: DataFrame, docs: DataFrame, key
         for batch in batches:
             ids, sets, parts = [], [], []
             for place, (names, said, low) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
-                for first, block in SetScores(names).blocks(low):
-                    # The first of the best paragraphs; the first one if none holds a keyword.
-                    parts += [said[i] for i in block.argmax(axis=1)]
-                    sets += names[first:first + len(block)]
-                    ids += [place] * len(block)
+                # The first of the best paragraphs; the first one if none holds a keyword.
+                parts += [said[i] for i in SetScores(names).scores(low).argmax(axis=1)]
+                sets += names
+                ids += [place] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(sets, pa.string()), pa.array(parts, pa.string())], kinds.fieldNames())
 
     answers = met.mapInArrow(run, kinds).select(F.col("id").alias(key), "set", compact_answer(F.col("part")).alias("answer"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rosterforge.functions.ranking import top_k_per_key
 from rosterforge.functions.vectors import confidence, overlap_score, tag_set
-from rosterforge.operators.blocks import blocked_topk
+from rosterforge.operators.blocks import EVERY, blocked_topk
 
 # Arbitration and review thresholds.
 FILTER_CONFIDENCE = 0.78
@@ -82,27 +82,27 @@ def tag_pools(queries: DataFrame, base: DataFrame, query_tags: str = "detected_t
     """Pools between distinct tag sets: ``qg, bg, mode, n`` with the best non-empty level only.
 
     Rows never meet here. Base rows are counted per tag set first; a query set meets only the
-    base sets that share a tag, through an equi-join on the tag.
+    base sets that share a tag, through an equi-join on the tag, and the number of shared tags
+    tells the level. A query set that shares none meets the one group of all rows, ``EVERY``.
     """
     base_sets = base.groupBy(_tag_key(F.col(base_tags)).alias("bg")).agg(F.count("*").alias("n"))
     query_sets = queries.select(_tag_key(F.col(query_tags)).alias("qg")).distinct()
+
     def tags(c: str) -> Column:
         return F.filter(F.split(c, "\\|"), lambda t: t != "")
 
-    q = query_sets.select("qg", tags("qg").alias("qt"), F.explode(tags("qg")).alias("tag"))
-    b = base_sets.select("bg", "n", tags("bg").alias("bt"), F.explode(tags("bg")).alias("tag"))
-    level = (F.when(F.col("qg") == F.col("bg"), 1)
-             .when(F.size(F.array_except("qt", "bt")) == 0, 2).otherwise(3))
-    shared = q.join(b, "tag").select("qg", "bg", "n", level.alias("level")).distinct()
+    q = query_sets.select("qg", F.size(tags("qg")).alias("qn"), F.explode(tags("qg")).alias("tag"))
+    b = base_sets.select("bg", "n", F.size(tags("bg")).alias("bn"), F.explode(tags("bg")).alias("tag"))
+    shared = q.join(b, "tag").groupBy("qg", "qn", "bg", "bn", "n").agg(F.count("*").alias("both"))
+    level = F.when(F.col("both") < F.col("qn"), 3).when(F.col("both") < F.col("bn"), 2).otherwise(1)
+    shared = shared.select("qg", "bg", "n", level.alias("level"))
     best = shared.groupBy("qg").agg(F.min("level").alias("best"))
     # A superset pool includes the exact sets and an overlap pool includes both, as each level does.
-    narrow = shared.join(best, "qg").where(F.col("level") <= F.col("best"))
-    wide = query_sets.join(best, "qg", "left_anti").withColumn("best", F.lit(4))
-    every = base_sets.agg(F.collect_list(F.struct("bg", "n")).alias("s")).scalar()
-    wide = wide.withColumn("s", F.explode(every)).select("qg", F.col("s.bg").alias("bg"), F.col("s.n").alias("n"), "best")
-    pools = narrow.select("qg", "bg", "n", "best").unionByName(wide)
+    narrow = shared.join(best, "qg").where(F.col("level") <= F.col("best")).select("qg", "bg", "n", "best")
+    total = base_sets.agg(F.sum("n").alias("n")).scalar()
+    wide = query_sets.join(best, "qg", "left_anti").select("qg", F.lit(EVERY).alias("bg"), total.alias("n"), F.lit(4).alias("best")).where("n > 0")
     mode = F.get(F.array(*[F.lit(m) for m in MODES]), F.col("best") - 1)
-    return pools.select("qg", "bg", "n", mode.alias("mode"))
+    return narrow.unionByName(wide).select("qg", "bg", "n", mode.alias("mode"))
 
 
 def candidate_pools(queries: DataFrame, base: DataFrame, query_id: str = "q", query_tags: str = "detected_types",
@@ -115,13 +115,6 @@ def candidate_pools(queries: DataFrame, base: DataFrame, query_id: str = "q", qu
         query_id, F.coalesce("mode", F.lit("none")).alias("mode"), F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"))
 
 
-def pool_members(queries: DataFrame, base: DataFrame, query_tags: str = "detected_types",
-                 base_tags: str = "types", base_id: str = "id") -> DataFrame:
-    """Members of each distinct query tag set's pool: ``qg, id``."""
-    pools = tag_pools(queries, base, query_tags, base_tags)
-    return base.select(F.col(base_id), _tag_key(F.col(base_tags)).alias("bg")).join(pools.select("qg", "bg"), "bg").drop("bg")
-
-
 def filtered_nearest(queries: DataFrame, base: DataFrame, query_id: str = "q", vec: str = "vector",
                      base_id: str = "id", query_tags: str = "detected_types", base_tags: str = "types") -> DataFrame:
     """Best match inside each query's pool with mode, pool size and confidence.
@@ -129,10 +122,11 @@ def filtered_nearest(queries: DataFrame, base: DataFrame, query_id: str = "q", v
     Vectors meet only inside the pool, block by block; a query without any candidate gets an
     ``unknown`` record.
     """
-    q = queries.select(query_id, vec, _tag_key(F.col(query_tags)).alias("qg"))
-    b = base.select(base_id, vec, _tag_key(F.col(base_tags)).alias("bg"))
     pools = tag_pools(queries, base, query_tags, base_tags)
-    best = blocked_topk(q, b, 1, query_id, vec, base_id, vec, pools.select("qg", "bg"))
+    group = F.when(F.col("bg") == EVERY, EVERY).otherwise(F.col("qg")).alias("grp")
+    q = queries.select(query_id, vec, _tag_key(F.col(query_tags)).alias("qg")).join(pools.select("qg", group).distinct(), "qg")
+    b = base.select(base_id, vec, _tag_key(F.col(base_tags)).alias("bg"))
+    best = blocked_topk(q.select(query_id, vec, F.col("grp").alias("qg")), b, 1, query_id, vec, base_id, vec, pools.select(group.alias("qg"), "bg").distinct())
     sizes = candidate_pools(queries, base, query_id, query_tags, base_tags)
     found = best.select(F.col("q").alias(query_id), F.col("id").alias(base_id), "score")
     return describe_match(sizes.join(found, query_id, "left"), base, base_id)

@@ -17,8 +17,8 @@ def keywords(question):
 @pytest.fixture
 def small(monkeypatch):
     monkeypatch.setattr(text, "PASS_KEYWORDS", 40)
-    monkeypatch.setattr(text, "CHUNK_KEYWORDS", 7)
-    monkeypatch.setattr(text, "DOC_BLOCK", 4)
+    monkeypatch.setattr(text, "BLOCK_SCORES", 60)
+    monkeypatch.setattr(text, "COMMON_SETS", 3)
     monkeypatch.setattr(text, "ANSWER_SETS", 2)
 
 
