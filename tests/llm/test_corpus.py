@@ -297,7 +297,45 @@ def test_pipeline_stages(spark, odd):
         docs = out
     assert corpus_pipeline.STAGES[1][1](spark, odd.limit(0), SF).count() == 0
     kept = corpus_pipeline.drop_near_duplicates(spark, odd, SF)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "4", "5", "6", "7", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "4", "5", "6", "7"]
+
+
+def test_near_duplicate_stage_keeps_every_text_once(spark):
+    """Ids under several texts, texts under several ids or none, repeated rows: one row a group stays, no group is lost."""
+    dice = random.Random(3)
+    words = [[f"{t}{i}" for i in range(40)] for t in "abcdefgh"]
+    rows = []
+    for _ in range(90):
+        w = list(dice.choice(words))
+        if dice.random() < 0.4:
+            w[dice.randrange(40)] = f"x{dice.randrange(3)}"
+        rows.append((dice.choice([None, *range(12)]), " ".join(w[:dice.choice([40, 40, 39, 20])]), dice.choice("st")))
+    rows += rows[:20] + [(2, "A " * 9, "s"), (2, "B b", "s"), (4, "A " * 9, "s"), (5, "C c", "s"), (1, "B b", "s"), (5, "B b", "s"), (6, None, "s"), (6, "", "s"), (6, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sets = {}
+    for _, t, _ in rows:
+        w = (t or "").lower().split()
+        sets[t] = {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    texts = [t for t in sets if sets[t]]
+    of = {t: t for t in texts}
+
+    def root(t):
+        while of[t] != t:
+            t = of[t]
+        return t
+    for a in texts:
+        for b in texts:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                of[root(a)] = root(b)
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert Counter(t for _, t, _ in kept if not sets[t]) == Counter(t for _, t, _ in rows if not sets[t])
+    groups = Counter(root(t) for _, t, _ in kept if sets[t])
+    assert groups == Counter({root(t) for t in texts})
+    least = {}
+    for k, t, _ in rows:
+        if sets[t]:
+            least[root(t)] = min(least.get(root(t), (True, 0)), (k is None, k or 0))
+    assert all((k is None, k or 0) == least[root(t)] for k, t, _ in kept if sets[t])
 
 
 def test_words_are_those_of_the_contract():
