@@ -109,6 +109,18 @@ def merge_boxes(spark, sf):
     return ops.merge_boxes(boxes(spark, sf))
 
 
+@query("merge_boxes_page", f"""WITH {SQL_BOXES}, l AS (SELECT image, list({{'x': x, 'y': y, 'w': w, 'h': h}} ORDER BY y, x, w, h) AS a FROM boxes GROUP BY 1),
+k AS (SELECT image, unnest(list_reduce(a, lambda acc, n: CASE WHEN len(list_filter(acc, lambda o: {_MERGE})) = 0 THEN list_append(acc, n)
+  ELSE list_transform(acc, lambda o, i: CASE WHEN i = list_position(list_transform(acc, lambda o: {_MERGE}), true) THEN {{'x': least(o.x, n.x), 'y': least(o.y, n.y),
+    'w': greatest(o.x + o.w, n.x + n.w) - least(o.x, n.x), 'h': greatest(o.y + o.h, n.y + n.h) - least(o.y, n.y)}} ELSE o END) END,
+  []::STRUCT(x BIGINT, y BIGINT, w BIGINT, h BIGINT)[])) AS b FROM l)
+SELECT b.x AS x, b.y + image * 1000 AS y, b.w AS width, b.h AS height FROM k""")
+def merge_boxes_page(spark, sf):
+    """All boxes of the table on one long page: its bands are walked apart."""
+    page = boxes(spark, sf).withColumn("y", F.col("y") + F.col("image") * 1000).withColumn("image", F.lit("page"))
+    return ops.merge_boxes(page).drop("image")
+
+
 @query("split_tall_boxes", """WITH b AS (SELECT l_orderkey AS image, l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS pos, (l_partkey * 7 + l_suppkey * 13) % 400 AS y, l_partkey % 50 + 20 AS h FROM lineitem),
 m AS (SELECT image, count(*) AS n, (list_sort(list(h)))[count(*) // 2 + 1] AS med FROM b GROUP BY 1),
 j AS (SELECT b.*, med, n BETWEEN 2 AND 5 AND h >= med * 1.65::DOUBLE AS tall, y + med + greatest(4, CAST(round_even(med * 0.08::DOUBLE, 0) AS BIGINT)) AS y2 FROM b JOIN m USING (image)),

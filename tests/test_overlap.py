@@ -65,3 +65,57 @@ def test_one_large_box_costs_little():
     rows = draw(4000, 3000, 30, 5)
     (_, alone), (_, beside) = spent(rows), spent([("hot", -1, 0, 0, 3000, 3000, 1.0, "a"), *rows])
     assert beside - alone <= len(rows) + alone * 0.2
+
+
+def merged(rows):
+    """The plain walk: each box joins the first earlier one of its row that it overlaps in x."""
+    out: dict = {}
+    for image, x, y, w, h in sorted(rows, key=lambda r: (r[0], r[2], r[1], r[3], r[4])):
+        acc = out.setdefault(image, [])
+        for i, (ax, ay, aw, ah) in enumerate(acc):
+            wide = max(0, min(ax + aw, x + w) - max(ax, x))
+            if abs(ay + ah / 2 - y - h / 2) <= max(ah, h) * 0.65 and wide / max(1, min(aw, w)) >= 0.35:
+                left, top = min(ax, x), min(ay, y)
+                acc[i] = (left, top, max(ax + aw, x + w) - left, max(ay + ah, y + h) - top)
+                break
+        else:
+            acc.append((x, y, w, h))
+    return sorted((image, *b) for image, bs in out.items() for b in bs)
+
+
+@pytest.mark.parametrize("step", [3, 12, 40])
+def test_bands_merge_like_the_walk(spark, step):
+    dice = random.Random(step)
+    rows, y = [], -500
+    for i in range(700):
+        y += dice.choice([0, 0, 1, step, step * 4])
+        rows.append(("a" if i % 3 else "b", dice.randrange(90), y, dice.randrange(0, 50), dice.choice([0, 1, 5, 20, 21, 60])))
+    rows.append(("b", 0, rows[300][2], 90, 1500))
+    boxes = spark.createDataFrame(rows, "image string, x long, y long, width long, height long")
+    assert sorted(tuple(r) for r in curation.merge_boxes(boxes).collect()) == merged(rows)
+
+
+def test_a_long_page_has_many_bands(spark):
+    rows = [("page", i % 7 * 9, i // 7 * 60, 12, 20) for i in range(12_000)]
+    boxes = spark.createDataFrame([(i, x, y, w, h) for i, x, y, w, h in rows], "image string, x long, y long, width long, height long")
+    assert len({tuple(r) for r in curation.merge_boxes(boxes).collect()}) == len(merged(rows))
+    bands = curation.merge_bands(boxes.selectExpr("image", "y - 4 AS lo", "y + height AS hi"), "image")
+    assert bands.select("band").distinct().count() == 12_000 // 7 + 1
+
+
+def test_runs_join_over_all_levels(spark, monkeypatch):
+    """Runs that span many blocks of every level, negative indexes and gaps on edges."""
+    monkeypatch.setattr(curation, "RUN_FAN", 4)
+    dice = random.Random(4)
+    rows, wanted = [], []
+    for series in "ab":
+        at = -300
+        while at < 500:
+            length = dice.choice([1, 2, 3, 9, 70])
+            wanted.append((series, at, at + length - 1))
+            rows += [(series, i, 1.0) for i in range(at, at + length)] + [(series, at + length, 0.0)]
+            at += length + dice.randint(1, 4)
+    out = curation.runs_above_threshold(spark.createDataFrame(rows, "series string, idx int, value double"), 0.5, block=2 ** 50)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(wanted)
+    small = curation.runs_above_threshold(spark.createDataFrame(rows, "series string, idx int, value double"), 0.5, 3, block=8)
+    assert sorted(tuple(r) for r in small.collect()) == sorted(r for r in wanted if r[2] - r[1] >= 2)
