@@ -7,6 +7,7 @@ all row-wise: a matchup table of any size is computed without a shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ FLOORED_FIRST = ("f_spread", "f_weather", "f_critical", "roll", "f_stab", "f_typ
                  "f_screen", "f_terrain", "f_charge")
 ROUNDED = ("f_attacker_item", "f_defender_item", "f_attacker_ability", "f_defender_ability")
 ROSTER_ROWS = 64
+# 16 ** 15 fits a 64-bit count, 16 ** 31 a decimal of 38 digits.
+NARROW_HITS, MAX_HITS = 15, 31
 
 
 def coalesce_fields(df: DataFrame, spec: Mapping[str, Sequence[str]] = STAT_ALIASES,
@@ -286,8 +289,8 @@ def ko_chance_n_hits(rolled: DataFrame, n: int, rolls: str = "rolls", hp: str =
 
     ``residual`` is the end-of-turn gain; a net gain is ignored on the last turn. ``toxic`` is
     the poison counter, which grows by one per turn. The distribution of the sum is an integer
-    convolution per row inside Arrow batches, exact and without a shuffle; equal sums merge, so
-    it is never binned.
+    convolution inside Arrow batches, once per distinct distribution, exact and without a shuffle;
+    equal sums merge, so it is never binned.
     """
     zero = F.lit(0).cast("long")
     eot = F.coalesce(F.col(residual).cast("long"), zero) if residual else zero
@@ -302,25 +305,54 @@ def ko_chance_n_hits(rolled: DataFrame, n: int, rolls: str = "rolls", hp: str =
     for turn in range(n - 1):
         healed = healed + eot - poison(turn)
     return rolled.withColumn("ko_ways", winning_tuples(n)(F.col(rolls), F.col(hp).cast("long") + healed)).withColumn(
-        "ko_chance", F.col("ko_ways") / F.pow(F.size(rolls).cast("double"), F.lit(float(n))))
+        "ko_chance", F.col("ko_ways").cast("double") / F.pow(F.size(rolls).cast("double"), F.lit(float(n))))
+
+
+def distributions(rolls: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(counts, which, low): the distinct distributions of rolls above their lowest one as rows of one
+    matrix, and for each list its row there and its lowest roll."""
+    size = np.array([len(r) for r in rolls])
+    starts = np.cumsum(size) - size
+    flat = np.concatenate(rolls).astype("int64")
+    low = np.minimum.reduceat(flat, starts)
+    padded = np.full((len(rolls), size.max()), -1, "int64")
+    padded[np.repeat(np.arange(len(rolls)), size), np.arange(len(flat)) - np.repeat(starts, size)] = flat - np.repeat(low, size)
+    shapes, which = np.unique(np.sort(padded, axis=1), axis=0, return_inverse=True)
+    counts = np.zeros((len(shapes), int(shapes.max()) + 1), "int64")
+    row, col = np.nonzero(shapes >= 0)
+    np.add.at(counts, (row, shapes[row, col]), 1)
+    return counts, which.reshape(-1), low
 
 
 def winning_tuples(n: int):
-    """Arrow function: how many of the roll tuples of length ``n`` sum to at least the need."""
-    if n > 15:
-        raise ValueError("more than 15 hits overflow a 64-bit count of tuples")
+    """Arrow function: how many of the roll tuples of length ``n`` sum to at least the need.
+
+    A batch's distinct distributions form one matrix and are convolved together. Counts are 64-bit up
+    to 15 hits of 16 rolls and decimals of 38 digits up to 31. Null or empty rolls, or a null need, give null.
+    """
+    if n > MAX_HITS:
+        raise ValueError(f"more than {MAX_HITS} hits overflow a decimal count of tuples")
+    wide = n > NARROW_HITS
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("decimal(38,0)" if wide else "long")
     def count(rolls: pd.Series, need: pd.Series) -> pd.Series:
-        out = np.empty(len(rolls), dtype="int64")
-        for row, (values, wanted) in enumerate(zip(rolls.to_numpy(), need.to_numpy())):
-            low = values.min()
-            single = np.bincount(values - low)
-            ways = single
+        known = np.array([r is not None and len(r) > 0 for r in rolls], bool) & need.notna().to_numpy()
+        out = np.full(len(rolls), None, dtype=object)
+        if known.any():
+            single, which, low = distributions(list(rolls[known]))
+            ways = single.astype(object) if wide else single
             for _ in range(n - 1):
-                ways = np.convolve(ways, single)
-            out[row] = ways[max(0, wanted - n * low):].sum()
-        return pd.Series(out)
+                grown = np.zeros((len(single), ways.shape[1] + single.shape[1] - 1), ways.dtype)
+                for shift in range(single.shape[1]):
+                    grown[:, shift:shift + ways.shape[1]] += single[:, shift:shift + 1] * ways
+                ways = grown
+            reach = np.cumsum(ways[:, ::-1], axis=1)[:, ::-1]
+            spot = np.maximum(0, need[known].to_numpy().astype("int64") - n * low)
+            beyond = spot >= reach.shape[1]
+            told = reach[which, np.minimum(spot, reach.shape[1] - 1)]
+            told[beyond] = 0
+            out[known] = [Decimal(int(v)) for v in told] if wide else told
+        return pd.Series(out) if wide else pd.Series(out, dtype="Int64")
 
     return count
 

@@ -219,24 +219,31 @@ def match_form_by_suffix(files: DataFrame, forms: DataFrame, pos: str = "pos",
                          filename: str = "filename", **naming) -> DataFrame:
     """Attach the chosen form of the file's number; no candidate leaves nulls.
 
-    The choice depends only on (number, suffix), so it is made once per distinct pair.
+    The first form whose name holds the file's suffix wins, for an empty suffix the first default one,
+    and else the first of the number. The choice depends only on (number, suffix), so it is made once
+    per distinct pair. Names are indexed by their parts of the lengths that the suffixes of their number
+    have; a pair looks its suffix up, so pairs and forms of one number never meet all with all.
     """
     parsed = files.withColumn("number", file_number(F.col(filename), **naming)).withColumn(
         "suffix", file_suffix(F.col(filename), **naming))
     pairs = parsed.select("number", "suffix").distinct()
+    lengths = pairs.where("suffix <> ''").groupBy("number").agg(F.collect_set(F.length("suffix")).alias("_l"))
+    rec = F.struct(*[F.col(c) for c in forms.columns])
     shown = F.lower(F.coalesce("form_display_name", F.lit("")))
     api = F.translate(F.lower(F.coalesce("form_api_name", F.lit(""))), "-", " ")
-    fits = F.when(F.col("suffix") == "", F.coalesce("is_default", F.lit(False))).otherwise(
-        shown.contains(F.col("suffix")) | api.contains(F.col("suffix")))
-    rec = F.struct(*[F.col(c) for c in forms.columns])
-    chosen = (
-        pairs.join(forms.withColumnRenamed("number", "_n"), F.col("number") == F.col("_n"))
-        .withColumn("_rank", F.struct(F.when(fits, 0).otherwise(1), F.col(pos)))
-        .withColumnRenamed("_n", "number_f")
-        .groupBy("number", "suffix")
-        .agg(F.min_by(F.struct(*[F.col("number_f" if c == "number" else c).alias(c) for c in forms.columns]),
-                      F.col("_rank")).alias("form"))
-    )
+
+    def parts(name: Column) -> Column:
+        return F.flatten(F.transform(F.filter("_l", lambda n: n <= F.length(name)), lambda n: F.transform(
+            F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substring(name, i, n))))
+
+    named = forms.select("number", F.col(pos).alias("_pos"), rec.alias("_rec"), shown.alias("_shown"), api.alias("_api"))
+    held = F.array_distinct(F.concat(parts(F.col("_shown")), parts(F.col("_api"))))
+    index = explode_once(named.join(lengths, "number").select("number", "_pos", "_rec", held.alias("_held")), F.col("_held"), "suffix")
+    fitting = index.groupBy("number", "suffix").agg(F.min_by("_rec", "_pos").alias("_fit"))
+    default = F.coalesce("_rec.is_default", F.lit(False))
+    firsts = named.groupBy("number").agg(F.min_by("_rec", F.when(default, F.col("_pos"))).alias("_default"), F.min_by("_rec", "_pos").alias("_first"))
+    chosen = pairs.join(firsts, "number").join(fitting, ["number", "suffix"], "left").select(
+        "number", "suffix", F.coalesce("_fit", F.when(F.col("suffix") == "", F.col("_default")), "_first").alias("form"))
     return parsed.join(chosen, ["number", "suffix"], "left")
 
 
