@@ -401,9 +401,11 @@ def combined_counts(spark, sf):
 
 @query("label_audit", """SELECT coalesce(d.doc_id, l.doc_id) AS stem, CASE WHEN d.doc_id IS NULL THEN 'missing_image' WHEN n_chars % 7 = 0 THEN 'skipped_unreadable'
   WHEN l.doc_id IS NULL THEN 'missing_label' ELSE 'cleaned' END AS status, coalesce(CAST(quality AS VARCHAR), '') AS label_text
-FROM (SELECT * FROM documents WHERE lang <> 'en') d FULL JOIN labels l ON l.doc_id = d.doc_id""")
+FROM (SELECT CASE WHEN lang = 'en' THEN -doc_id - 1 ELSE doc_id END AS doc_id, n_chars FROM documents) d FULL JOIN labels l ON l.doc_id = d.doc_id""")
 def label_audit(spark, sf):
-    images = table(spark, sf, "documents").where("lang <> 'en'").select(F.col("doc_id").alias("stem"), (F.col("n_chars") % 7 != 0).alias("readable"))
+    # English documents get a key that no label has.
+    stem = F.when(F.col("lang") == "en", -F.col("doc_id") - 1).otherwise(F.col("doc_id"))
+    images = table(spark, sf, "documents").select(stem.alias("stem"), (F.col("n_chars") % 7 != 0).alias("readable"))
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("stem"), F.col("quality").cast("string").alias("text"))
     return ops.label_audit(images, labels)
 

@@ -111,20 +111,23 @@ def search_contains(spark, sf):
 
 
 @query("fallback_abilities", f"""WITH {SQL_ENTITIES},
-roster AS (SELECT c_custkey AS pos, 'brand ' || (c_custkey % 40) AS roster_name, c_mktsegment AS ab FROM customer
-  WHERE c_nationkey <> 3 UNION ALL SELECT p_partkey, p_name || '-' || p_type, p_brand FROM part WHERE p_size % 7 = 1),
+roster AS (SELECT c_custkey AS pos, CASE WHEN c_nationkey = 3 THEN 'elsewhere ' || c_custkey ELSE 'brand ' || (c_custkey % 40) END AS roster_name, c_mktsegment AS ab FROM customer
+  UNION ALL SELECT p_partkey, CASE WHEN p_size % 7 = 1 THEN '' ELSE 'gone ' END || p_name || '-' || p_type, p_brand FROM part),
 r AS (SELECT {_n('roster_name')} AS key, max_by(ab, pos) AS ab FROM roster GROUP BY 1)
 SELECT e.pos, coalesce(n.ab, CASE WHEN e.is_default THEN s.ab END, e.form_api_name) AS abilities
 FROM entities e LEFT JOIN r n ON n.key = {_n('e.form_display_name')} AND n.key <> ''
 LEFT JOIN r s ON s.key = {_n('e.species_display_name')}""")
 def fallback_abilities(spark, sf):
     c, p = table(spark, sf, "customer"), table(spark, sf, "part")
-    roster = c.where("c_nationkey <> 3").select(
+    # Customers of one nation and six of seven parts stand under names that no entity has.
+    brand = F.concat(F.lit("brand "), (F.col("c_custkey") % 40).cast("string"))
+    roster = c.select(
         F.col("c_custkey").alias("roster_pos"),
-        F.concat(F.lit("brand "), (F.col("c_custkey") % 40).cast("string")).alias("roster_name"),
+        F.when(F.col("c_nationkey") == 3, F.concat(F.lit("elsewhere "), "c_custkey")).otherwise(brand).alias("roster_name"),
         F.array("c_mktsegment").alias("abilities"),
-    ).unionByName(p.where("p_size % 7 = 1").select(
-        F.col("p_partkey").alias("roster_pos"), F.concat_ws("-", "p_name", "p_type").alias("roster_name"),
+    ).unionByName(p.select(
+        F.col("p_partkey").alias("roster_pos"),
+        F.concat(F.when(F.col("p_size") % 7 == 1, "").otherwise("gone "), F.concat_ws("-", "p_name", "p_type")).alias("roster_name"),
         F.array("p_brand").alias("abilities")))
     rows = entities(spark, sf).withColumn("name", F.coalesce("form_display_name", F.lit("")))
     rows = rows.withColumn("abilities", F.array("form_api_name"))
@@ -159,7 +162,7 @@ def build_team(spark, sf):
 @query("merge_details", f"""WITH {SQL_ENTITIES}, {SQL_TEAMLISTS},
 st AS (SELECT moves.entity, list(moves.move ORDER BY moves.n DESC, moves.move)[1:4] AS top_moves FROM (
   SELECT entity, move, count(*) AS n FROM (
-    SELECT entity, unnest([move_1, move_3]) AS move FROM teamlists WHERE item <> 'RF') GROUP BY 1, 2) moves GROUP BY 1)
+    SELECT CASE WHEN item = 'RF' THEN 'E-9' || substr(entity, 2) ELSE entity END AS entity, unnest([move_1, move_3]) AS move FROM teamlists) GROUP BY 1, 2) moves GROUP BY 1)
 SELECT p.p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'S' || p_name WHEN p_size % 2 = 0 THEN 'D' || p_name ELSE p_name END AS name,
   CASE WHEN p_size % 2 = 0 THEN p_type WHEN p_size % 3 = 0 THEN 'sf' ELSE '' END AS form,
   CASE WHEN p_size % 4 = 0 THEN 'd.png' WHEN p_size % 5 = 0 THEN 'm.png' WHEN p_size % 3 = 0 THEN 's.png' ELSE '' END AS image,
@@ -180,17 +183,19 @@ def merge_details(spark, sf):
         F.lit("old").alias("ability"), F.lit(None).cast("string").alias("nature"),
         F.when(size % 7 == 0, words("k", "")).otherwise(words("", "")).alias("moves"),
         words("o1", "o2").alias("move_options"))
-    details = p.where(size % 2 == 0).select(
-        "id", F.concat(F.lit("D"), "p_name").alias("name"), F.col("p_type").alias("form"),
+    # Details, stats and usage of the other parts stand under a negated id, which nothing saved has.
+    only = lambda part: F.when(part, F.col("id")).otherwise(-F.col("id") - 1).alias("id")
+    details = p.select(
+        only(size % 2 == 0), F.concat(F.lit("D"), "p_name").alias("name"), F.col("p_type").alias("form"),
         F.when(size % 4 == 0, "d.png").otherwise("").alias("image"), words("u").alias("types"),
         F.array(F.concat(F.lit("A"), size.cast("string"))).alias("abilities"),
         words("x", "y", "z", "w", "v").alias("moves"))
-    stats = p.where(size % 3 == 0).select(
-        "id", F.concat(F.lit("S"), "p_name").alias("name"), F.lit("sf").alias("form"),
+    stats = p.select(
+        only(size % 3 == 0), F.concat(F.lit("S"), "p_name").alias("name"), F.lit("sf").alias("form"),
         F.lit("bold").alias("nature"), F.lit("s.png").alias("image"))
     from rosterforge.functions.ranking import top_k_per_key
-    used = teamlists(spark, sf).where("item <> 'RF'").select(
-        "entity", F.explode(F.array("move_1", "move_3")).alias("move"))
+    of = F.when(F.col("item") == "RF", F.concat(F.lit("E-9"), F.substring("entity", 2, 20))).otherwise(F.col("entity"))
+    used = teamlists(spark, sf).select(of.alias("entity"), F.explode(F.array("move_1", "move_3")).alias("move"))
     counts = used.groupBy("entity", "move").agg(F.count("*").alias("n"))
     best = top_k_per_key(counts, ["entity"], [F.desc("n"), F.asc("move")], 4)
     usage = best.groupBy(F.substring("entity", 2, 20).cast("long").alias("id")).agg(

@@ -227,8 +227,8 @@ def select_distinct_nonoverlap(spark, sf):
     return out.select("item", F.array_join("selected", ",").alias("selected"), F.array_join("tags_by_x", ",").alias("tags_by_x"))
 
 
-@query("merge_evidence", f"""WITH {SQL_EVID}, e AS (SELECT * FROM ev WHERE event_type <> 'error'),
-t AS (SELECT event_id, 'T' || user_id AS name, (event_id * 31) % 1001 / 1000.0::DOUBLE AS c FROM events WHERE event_type <> 'view'),
+@query("merge_evidence", f"""WITH {SQL_EVID}, e AS (SELECT * REPLACE (CASE WHEN event_type = 'error' THEN -event_id - 1 ELSE event_id END AS event_id) FROM ev),
+t AS (SELECT CASE WHEN event_type = 'view' THEN -event_id - 1 ELSE event_id END AS event_id, 'T' || user_id AS name, (event_id * 31) % 1001 / 1000.0::DOUBLE AS c FROM events),
 j AS (SELECT coalesce(e.event_id, t.event_id) AS item, e.name AS en, t.name AS tn, coalesce(e.c, 0) AS ec, coalesce(t.c, 0) AS tc, mode, e.event_id IS NOT NULL AS has_e FROM e FULL JOIN t ON t.event_id = e.event_id),
 r AS (SELECT *, CASE WHEN has_e AND ec >= 0.78 THEN 'embedding' WHEN mode IN ('exact_type', 'contains_all_types') AND ec >= 0.70 THEN 'embedding-fast'
   WHEN mode = 'global' AND ec >= 0.80 THEN 'embedding-fast' WHEN tc >= 0.62 THEN 'template' WHEN has_e AND ec >= tc THEN 'embedding-weak' ELSE 'template-weak' END AS rule FROM j)
@@ -236,9 +236,11 @@ SELECT item, rule, CASE WHEN starts_with(rule, 'embedding') THEN en ELSE coalesc
   CAST(round(CASE WHEN starts_with(rule, 'embedding') THEN ec ELSE tc END * 1000) AS BIGINT) AS confidence, rule NOT IN ('embedding', 'template') AS needs_review FROM r""")
 def merge_evidence(spark, sf):
     rows = _evidence(spark, sf)
-    e = rows.where("event_type <> 'error'").withColumn("reason", F.lit("embedding")).withColumn("needs_review", F.lit(False))
-    t = rows.where("event_type <> 'view'").select(
-        "event_id", F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("name"),
+    # Errors on one side and views on the other stand under keys that the other side lacks.
+    apart = lambda kind: F.when(F.col("event_type") == kind, -F.col("event_id") - 1).otherwise(F.col("event_id")).alias("event_id")
+    e = rows.withColumn("event_id", apart("error")).withColumn("reason", F.lit("embedding")).withColumn("needs_review", F.lit(False))
+    t = rows.select(
+        apart("view"), F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("name"),
         (F.col("event_id") * 31 % 1001 / 1000).alias("confidence"), F.lit("template").alias("reason"))
     out = ops.merge_evidence(e.withColumnRenamed("event_id", "item"), t.withColumnRenamed("event_id", "item"))
     return out.select("item", "rule", "name", _bp("confidence", 1000).alias("confidence"), "needs_review")

@@ -12,8 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rosterforge.operators import ingest, incremental
 from rosterforge.sources.readers import path_missing
-from rosterforge.sources.writers import append_table
 
+STATE_BUCKETS = 64
 # Shape of a landed tournament payload.
 PAYLOAD = (
     "id string, date string, format string, name string, players int, isOnline boolean, decklists boolean, game string, "
@@ -25,8 +25,8 @@ PAYLOAD = (
 
 
 def stored(spark: SparkSession, path: str, contract: str) -> DataFrame:
-    """A stored contract table, empty when nothing was written yet."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in ingest.CONTRACTS[contract]])
+    """A stored contract table with the stamp of each row's ``batch``, empty when nothing was written yet."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*ingest.CONTRACTS[contract], "batch")])
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
@@ -35,35 +35,46 @@ def stored(spark: SparkSession, path: str, contract: str) -> DataFrame:
         raise
 
 
-def _append_missing(rows: DataFrame, path: str, contract: str) -> None:
-    """Append the tournaments this table does not hold yet, so a replayed batch adds nothing."""
-    known = stored(rows.sparkSession, path, contract).select("tournament_id").distinct()
-    append_table(rows.join(known, "tournament_id", "left_anti"), path, contract)
+def batch_stamp(batch: DataFrame) -> str:
+    """A name that depends on what the batch landed, so that a replayed batch has the same one."""
+    facts = batch.agg(F.count("*").alias("n"), F.sum(F.xxhash64("id", "page", "pos").cast("decimal(38,0)")).alias("h")).first()
+    return f"b{facts['n']}x{int(facts['h'] or 0) % (1 << 64):016x}"
+
+
+def write_batch(rows: DataFrame, path: str, contract: str, stamp: str) -> None:
+    """Write a batch's rows as their own partition, in place of what an earlier try left there."""
+    shaped = rows.select(*[F.col(c).cast("string").alias(c) for c in ingest.CONTRACTS[contract]], F.lit(stamp).alias("batch"))
+    if not shaped.isEmpty():
+        shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
 
 def ingest_batch(batch: DataFrame, target: str, formats: Iterable[str] = incremental.DEFAULT_FORMATS,
                  strict: bool = True) -> None:
-    """Select new tournaments of one landed batch, flatten them and append the four tables.
+    """Select new tournaments of one landed batch, flatten them and write the four tables.
 
-    The tournament table is written last: it is what later runs read as known, so a batch that
-    dies half way is selected again and only its missing rows are added.
+    Ids are chosen from the listing alone; payloads follow by a semi join and only those chosen are
+    shuffled. Each table takes the rows as one partition per batch, so neither standings, teamlists nor
+    matches are read, and a batch that died half way replaces what it left. Its own earlier try does
+    not count as known.
     """
     spark = batch.sparkSession
-    paths = {c: f"{target}/{c}" for c in ingest.CONTRACTS}
-    held = stored(spark, paths["tournaments"], "tournaments")
+    stamp = batch_stamp(batch)
+    held = stored(spark, f"{target}/tournaments", "tournaments").where(F.col("batch") != stamp)
     dates = incremental.known_dates(held)
     ids = incremental.known_keys(held, "tournament_id").withColumnRenamed("tournament_id", "known_id")
-    listed = batch.withColumn("_order", F.struct("page", "pos"))
-    first = listed.groupBy("id").agg(F.min_by(F.struct(*batch.columns, "_order"), "_order").alias("r")).select("r.*")
-    new = incremental.select_new_until_known(first, "_order", dates, ids, formats, strict).drop("_order", "stopped").persist()
+    listed = batch.select("id", "date", "format", F.struct("page", "pos").alias("_order"))
+    first = listed.groupBy("id").agg(F.min_by(F.struct("id", "date", "format", "_order"), "_order").alias("r")).select("r.*")
+    chosen = incremental.select_new_until_known(first, "_order", dates, ids, formats, strict).select("id", "_order").persist()
     try:
+        landed = batch.withColumn("_order", F.struct("page", "pos")).join(chosen, ["id", "_order"], "left_semi")
+        new = landed.groupBy("id").agg(F.first(F.struct(*batch.columns)).alias("r")).select("r.*")
         for contract, rows in (
             ("standings", ingest.flatten_standings(new)), ("teamlists", ingest.flatten_teamlists(new)),
             ("matches", ingest.flatten_matches(new)), ("tournaments", ingest.flatten_tournaments(new)),
         ):
-            _append_missing(rows, paths[contract], contract)
+            write_batch(rows, f"{target}/{contract}", contract, stamp)
     finally:
-        new.unpersist()
+        chosen.unpersist()
 
 
 def ingest_stream(spark: SparkSession, landing: str, target: str, checkpoint: str,
@@ -102,32 +113,57 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, options: Mapping[s
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
-def keep_latest(stream: DataFrame, keys: Iterable[str], order: Iterable[str], path: str, checkpoint: str) -> None:
-    """Keep one latest row per key in a Parquet table, one versioned folder per batch.
+def keep_latest(stream: DataFrame, keys: Iterable[str], order: Iterable[str], path: str, checkpoint: str,
+                buckets: int = STATE_BUCKETS) -> None:
+    """Keep one latest row per key in a Parquet table of ``buckets`` by key hash, versioned per batch.
 
-    Every batch rewrites changed keys over the last version; a replayed batch overwrites its own
-    folder, so a lost executor or a restart never doubles a row.
+    A batch reads and rewrites only the buckets its keys fall in, as a new version of each. A replayed
+    batch starts from the versions before it and replaces its own, so a lost executor or a restart
+    never doubles a row. The version before is kept for that; older ones of the touched buckets go.
     """
     keys, order = list(keys), list(order)
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = incremental.latest_by(batch, keys, order)
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        fresh = incremental.latest_by(batch, keys, order).withColumn("bucket", bucket).persist()
         try:
-            versions = spark.read.parquet(path)
-            last = versions.where(F.col("epoch") < epoch).agg(F.max("epoch").alias("e")).first()["e"]
-            if last is not None:
-                held = versions.where(F.col("epoch") == last).drop("epoch")
-                fresh = incremental.latest_by(held.unionByName(fresh), keys, order)
-        except AnalysisException as error:
-            if not path_missing(error):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+            touched = [r[0] for r in fresh.select("bucket").distinct().collect()]
+            if not touched:
+                return
+            old: list = []
+            try:
+                versions = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+                found = versions.select("bucket", "epoch").distinct().where(F.col("epoch") < epoch).collect()
+                last = {b: max(r["epoch"] for r in found if r["bucket"] == b) for b in {r["bucket"] for r in found}}
+                old = [(r["bucket"], r["epoch"]) for r in found if r["epoch"] < last[r["bucket"]]]
+                if last:
+                    wanted = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])
+                    held = versions.where(F.col("epoch") == wanted[F.col("bucket")]).drop("epoch")
+                    fresh_rows = incremental.latest_by(held.unionByName(fresh.select(*held.columns)), keys, order)
+                else:
+                    fresh_rows = fresh
+            except AnalysisException as error:
+                if not path_missing(error):
+                    raise
+                fresh_rows = fresh
+            stamped = fresh_rows.withColumn("epoch", F.lit(epoch).cast("long")).repartition("bucket")
+            stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(path)
+            drop_folders(spark, [f"{path}/bucket={b}/epoch={e}" for b, e in old])
+        finally:
+            fresh.unpersist()
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def drop_folders(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def latest_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of every bucket."""
     versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("epoch")).scalar()
-    return versions.where(F.col("epoch") == newest).drop("epoch")
+    newest = versions.groupBy("bucket").agg(F.max("epoch").alias("epoch"))
+    return versions.join(newest, ["bucket", "epoch"], "left_semi").drop("bucket", "epoch")

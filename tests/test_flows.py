@@ -40,10 +40,24 @@ def test_ingest_twice_without_duplicates(spark, tmp_path):
 def test_batch_replay_after_a_partial_write(spark, tmp_path):
     rows = spark.read.schema(flows.PAYLOAD).json(spark.sparkContext.parallelize([json.dumps(payload("t1", "2026-05-10", "M-A", 0, 0))]))
     target = str(tmp_path / "tables")
-    flows._append_missing(flows.ingest.flatten_standings(rows), f"{target}/standings", "standings")
+    stamp = flows.batch_stamp(rows)
+    flows.write_batch(flows.ingest.flatten_standings(rows), f"{target}/standings", "standings", stamp)
     flows.ingest_batch(rows, target)
     flows.ingest_batch(rows, target)
     assert spark.read.parquet(f"{target}/standings").count() == 1 and spark.read.parquet(f"{target}/tournaments").count() == 1
+    assert {r[0] for r in spark.read.parquet(f"{target}/matches").select("batch").distinct().collect()} == {stamp}
+
+
+def test_a_batch_reads_no_flattened_table(spark, tmp_path):
+    """Damaged standings, teamlists and matches of other batches do not disturb a batch."""
+    target = tmp_path / "tables"
+    for name in ("standings", "teamlists", "matches"):
+        (target / name / "batch=b0").mkdir(parents=True)
+        (target / name / "batch=b0" / "part-0.parquet").write_text("damaged")
+    rows = spark.read.schema(flows.PAYLOAD).json(spark.sparkContext.parallelize([json.dumps(payload("t9", "2026-05-10", "M-A", 0, 0)) for _ in range(2)]))
+    flows.ingest_batch(rows, str(target))
+    stamp = flows.batch_stamp(rows)
+    assert {n: spark.read.parquet(f"{target}/{n}/batch={stamp}").count() for n in ("standings", "teamlists", "matches")} == {"standings": 1, "teamlists": 1, "matches": 1}
 
 
 @pytest.mark.parametrize("ttl", [None, "1 hour"])
@@ -68,6 +82,40 @@ def test_latest_survives_restart(spark, tmp_path):
     assert got == {("a", 3, "z"), ("b", 2, "y")}
 
 
+def test_a_batch_of_one_key_rewrites_one_bucket(spark, tmp_path):
+    source, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    schema = "k string, ts int, v string"
+
+    def land(rows, ckpt=ckpt):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        flows.keep_latest(spark.readStream.schema(schema).parquet(source), ["k"], ["ts"], out, ckpt, buckets=8)
+        return {tuple(r) for r in spark.read.parquet(out).select("bucket", "epoch").distinct().collect()}
+
+    first = land([(f"k{i}", 1, "x") for i in range(40)])
+    assert first == {(b, 0) for b in range(8)}
+    second = land([("k5", 2, "y"), ("k5", 1, "late")])
+    ((bucket, epoch),) = second - first
+    assert epoch == 1
+    third = land([("k5", 3, "z")])
+    assert {e for b, e in third if b == bucket} == {1, 2} and third - {(bucket, 1), (bucket, 2)} == first - {(bucket, 0)}
+    got = {r["k"]: r["v"] for r in flows.latest_table(spark, out).collect()}
+    assert got == {**{f"k{i}": "x" for i in range(40)}, "k5": "z"}
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    """The commit of the last batch is lost; the restart runs it again over its own version."""
+    source, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    schema = "k string, ts int, v string"
+    for rows in ([("a", 1, "x"), ("b", 1, "x")], [("a", 2, "y"), ("c", 1, "x")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        flows.keep_latest(spark.readStream.schema(schema).parquet(source), ["k"], ["ts"], out, ckpt, buckets=2)
+    before = sorted(map(tuple, flows.latest_table(spark, out).collect()))
+    for name in ("1", ".1.crc"):
+        (tmp_path / "ckpt" / "commits" / name).unlink(missing_ok=True)
+    flows.keep_latest(spark.readStream.schema(schema).parquet(source), ["k"], ["ts"], out, ckpt, buckets=2)
+    assert sorted(map(tuple, flows.latest_table(spark, out).collect())) == before == [("a", 2, "y"), ("b", 1, "x"), ("c", 1, "x")]
+
+
 def test_document_folder(spark, tmp_path):
     (tmp_path / "b.txt").write_text(" hi\r\n")
     (tmp_path / "a.txt").write_text("x\n\n\n\ny")
