@@ -29,7 +29,7 @@ def positional_index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", tex
 
 def item_windows(items: DataFrame, window: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
     """(item, words, at, pos, term): for each window of each item, start ``at``, its words with their item positions."""
-    words = items.select(F.col(item).cast("string").alias("item"), index_words(F.col(text)).alias("words")).where("size(words) > 0").distinct()
+    words = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), index_words(F.col(text)).alias("words")).where("size(words) > 0").distinct()
     starts = words.select("item", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - window))).alias("at"))
     return starts.select("item", "words", "at", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + window, F.size("words")) - 1)).alias("pos")) \
         .withColumn("term", F.xxhash64(F.get("words", F.col("pos"))))
@@ -80,8 +80,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, one_i
     Candidates come from the index; their documents' words are then compared with the item's, and every word
     inside an exact occurrence of a window is hit once. Contaminated: some hit, and ``one_in`` * hits >= words.
     Null or empty texts have no words and no hits. Repeated rows each give a row. Rows with a
-    null key are judged like others. Null items are skipped; an empty
-    benchmark leaves every document clean. Other columns are ignored.
+    null key are judged like others. Null items are skipped, an item
+    without id counts under the empty id; an empty benchmark leaves every document clean. Other columns are ignored.
     """
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     windows = staged(item_windows(items, window))

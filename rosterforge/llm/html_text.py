@@ -26,6 +26,10 @@ DROP_WORDS = frozenset(
     "nav navbar navigation menu masthead footer sidebar aside ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies "
     "consent notice notices alert gdpr popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond reply replies share sharing social "
     "breadcrumb breadcrumbs related recommended pagination pager widget toolbar".split())
+# A class word that opens a state (has-sidebar), and those that only say what kind of box holds the named thing (sidebar-left).
+STATES = frozenset("has no with without is not".split())
+HOLDERS = frozenset("area bar block bottom box button buttons col column container content form group holder inner item items left link links list main outer panel right row section slot top unit wrap wrapper".split())
+SIZE = re.compile(r"\d+(?:x\d+)?")
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 SELF_CLOSED = {"p": frozenset(), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr"))}
 
@@ -39,6 +43,14 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def names_boilerplate(name: str) -> bool:
+    """Whether a class or id names boilerplate: its last part does, apart from holders and sizes. States name nothing."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
+    while parts and parts[-1] not in DROP_WORDS and (parts[-1] in HOLDERS or SIZE.fullmatch(parts[-1])):
+        parts.pop()
+    return bool(parts) and parts[-1] in DROP_WORDS and parts[0] not in STATES
+
+
 def element_kind(tag: str, attributes: str, inherited: int) -> int:
     """Whether text inside an element is dropped, open, main or article text."""
     if inherited == DROPPED or tag in DROP_TAGS:
@@ -48,9 +60,12 @@ def element_kind(tag: str, attributes: str, inherited: int) -> int:
         return DROPPED
     if attributes and tag not in ("html", "body"):
         given = {m[0].lower(): m[1] or m[2] or m[3] for m in ATTRIBUTE.findall(attributes)}
-        words = set(re.split(r"[^a-z0-9]+", unescape(f"{given.get('class', '')} {given.get('id', '')}").lower()))
+        names = unescape(f"{given.get('class', '')} {given.get('id', '')}").lower()
+        words = set(re.split(r"[^a-z0-9]+", names))
         role = given.get("role", "").lower()
-        if words & DROP_WORDS or role in DROP_ROLES or "hidden" in given or "display:none" in given.get("style", "").replace(" ", "").lower():
+        # A main element stays whatever its classes; an article goes only if a whole class says what it is (a reader's comment).
+        told = False if tag == "main" or role == "main" else not DROP_WORDS.isdisjoint(names.split()) if tag == "article" else any(map(names_boilerplate, names.split()))
+        if told or role in DROP_ROLES or "hidden" in given or "display:none" in given.get("style", "").replace(" ", "").lower():
             return DROPPED
         if "header" in words and inherited < MAIN and kind < MAIN:
             return DROPPED

@@ -86,6 +86,8 @@ def test_decontamination_judges_rows_without_key(spark, odd):
     items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20, 40))), (2, "solo")], "item_id long, text string")
     out = [r for r in decontaminate.contamination(odd, items).collect() if r.doc_id is None]
     assert [(r.n_words, r.n_hit, r["items"], r.contaminated) for r in out] == [(60, 20, ["1"], True)]
+    bare = spark.createDataFrame([(None, "solo"), (3, None)], "item_id long, text string")
+    assert [(r.n_hit, r["items"], r.contaminated) for r in decontaminate.contamination(spark.createDataFrame([(1, "a solo b")], "doc_id long, text string"), bare).collect()] == [(1, [""], True)]
     more = spark.createDataFrame([(None, "solo"), (None, "clean text"), (7, "solo"), (7, "clean text")], "doc_id long, text string")
     got = decontaminate.contamination(more, items).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.contaminated) for r in got) == [("7", 1, 1, True), ("7", 2, 0, False), ("None", 1, 1, True), ("None", 2, 0, False)]
@@ -164,6 +166,14 @@ def test_page_blocks():
     assert html_text.assembled(html_text.page_blocks(None), set()) == "" and html_text.page_blocks("<" * 5000) and html_text.page_blocks("<p a='" * 500)
 
 
+def test_class_words_are_read_whole():
+    pages = {"<main class='has-sidebar'>Main text</main>": "Main text", "<div class='no-sidebar'><article>Art</article></div>": "Art",
+             "<div class='menu-closed'><article>Art</article></div>": "Art", "<article class='post comment-status-open'>Art <p class='share-price'>up</p></article>": "Art up",
+             "<article>Art<div class='share-buttons'>x</div><div class=site-footer-inner>y</div><article class=comment>z</article><p id=ad-300x250>q</p><div class='sidebar left'>r</div></article>": "Art",
+             "<article>Art<nav class=has-menu>x</nav><ul class='post-comments'><li>y</ul><div class='main-nav'>z</div></article>": "Art"}
+    assert {p: html_text.assembled(html_text.page_blocks(p), set()) for p in pages} == pages
+
+
 def test_repeated_runs_go_and_articles_stay(spark):
     legal = "all rights reserved by the owner of this site since long ago"
     rows = [(i, f"http://h.example/{i}", f"<body><div>own story number {i} of a page about things</div><div>{legal}</div></body>") for i in range(3)]
