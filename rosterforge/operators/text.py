@@ -153,15 +153,15 @@ def sample_chunks(chunks: DataFrame, order: Sequence[str], n: int = 5, chars: in
 # --- embedding -------------------------------------------------------------------------------
 
 def hashed_token_encoder(dims: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """A deterministic stand-in encoder: counts of hashed tokens."""
+    """A deterministic stand-in encoder: counts of tokens by the first 16 bits of their MD5."""
+    import hashlib
     import re
-    import zlib
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims), dtype="float32")
         for row, text in enumerate(texts):
             for token in re.findall(r"[a-z0-9]+", (text or "").lower()):
-                out[row, zlib.crc32(token.encode()) % dims] += 1
+                out[row, int(hashlib.md5(token.encode()).hexdigest()[:4], 16) % dims] += 1
         return out
 
     return encode

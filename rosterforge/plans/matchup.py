@@ -209,21 +209,21 @@ agg AS (SELECT rid, any_value(l_orderkey) AS l_orderkey, any_value(l_linenumber)
 
 
 def _sql_ko(lo, hi, one, n, hp):
-    return f"""CASE WHEN {one} = {n} THEN 'Guaranteed OHKO' WHEN {one} > 0 THEN 'chance' WHEN {lo} * 2 >= {hp} THEN 'Guaranteed 2HKO'
+    return f"""CASE WHEN {one} = {n} THEN 'Guaranteed OHKO' WHEN {one} > 0 THEN CAST(round_even({one} / {n}::DOUBLE * 100, 1) AS VARCHAR) || '% chance to OHKO' WHEN {lo} * 2 >= {hp} THEN 'Guaranteed 2HKO'
   WHEN {hi} * 2 >= {hp} THEN 'Possible 2HKO' WHEN {lo} * 3 >= {hp} THEN 'Guaranteed 3HKO' WHEN {hi} * 3 >= {hp} THEN 'Possible 3HKO'
   ELSE 'Likely 4HKO or worse' END"""
 
 
 @query("damage_summary", f"""WITH {SQL_TOTALS} SELECT {', '.join(_KEYS)}, lo AS min_damage, hi AS max_damage, s AS total, n,
-  lo * 1000 // max_hp AS min_tenths, hi * 1000 // max_hp AS max_tenths, {_sql_ko('lo', 'hi', 'one', 'n', 'hp')} AS ko FROM agg""")
+  CAST(round(round_even(s / n::DOUBLE, 2) * 100) AS BIGINT) AS mean_hundredths, CAST(round(round_even(lo / max_hp::DOUBLE * 100, 1) * 10) AS BIGINT) AS min_tenths,
+  CAST(round(round_even(hi / max_hp::DOUBLE * 100, 1) * 10) AS BIGINT) AS max_tenths, {_sql_ko('lo', 'hi', 'one', 'n', 'hp')} AS ko FROM agg""")
 def damage_summary(spark, sf):
     out = ops.damage_summary(_totals(spark, sf))
     return out.select(
         *_KEYS, "min_damage", "max_damage",
         F.aggregate("damage_values", F.lit(0).cast("long"), lambda a, d: a + d).alias("total"),
-        F.size("damage_values").alias("n"), F.floor(F.col("min_damage") * 1000 / F.col("max_hp")).alias("min_tenths"),
-        F.floor(F.col("max_damage") * 1000 / F.col("max_hp")).alias("max_tenths"),
-        F.when(F.col("ko_class").contains("chance"), "chance").otherwise(F.col("ko_class")).alias("ko"))
+        F.size("damage_values").alias("n"), F.round(F.col("mean_damage") * 100).cast("long").alias("mean_hundredths"),
+        *[F.round(F.col(f"{side}_percent") * 10).cast("long").alias(f"{side}_tenths") for side in ("min", "max")], F.col("ko_class").alias("ko"))
 
 
 @query("hazard_and_residual", f"""WITH {SQL_TOTALS}, z AS (SELECT agg.*, l_linenumber % 4 AS layers,
@@ -247,8 +247,7 @@ def hazard_and_residual(spark, sf):
     rows = rows.withColumn("item", F.when(part % 5 == 0, "leftovers").when(part % 5 == 1, "black-sludge"))
     rows = rows.withColumn("weather", F.when(line == 1, "sand")).withColumn("terrain", F.when(line == 2, "grassy"))
     out = ops.hazard_residual(rows)
-    return out.select(*_KEYS, "rock_damage", "spikes_damage", "end_turn_net",
-                      F.when(F.col("ko_after_hazards").contains("chance"), "chance").otherwise(F.col("ko_after_hazards")).alias("ko"))
+    return out.select(*_KEYS, "rock_damage", "spikes_damage", "end_turn_net", F.col("ko_after_hazards").alias("ko"))
 
 
 def _fighters(spark, sf):
@@ -341,8 +340,9 @@ def ko_chance_two_hits(spark, sf):
 @query("hit_chance", """WITH e AS (SELECT event_id, CASE WHEN event_type = 'view' THEN NULL ELSE 50 + user_id % 51 END AS acc,
   greatest(-6, least(6, user_id % 15 - 7)) AS sa, greatest(-6, least(6, event_id % 15 - 7)) AS se, event_type FROM events),
 f AS (SELECT *, acc::DOUBLE * CASE WHEN sa >= 0 THEN (3 + sa) / 3.0::DOUBLE ELSE 3.0::DOUBLE / (3 - sa) END
-  / CASE WHEN event_type = 'click' THEN 1.0::DOUBLE WHEN se >= 0 THEN (3 + se) / 3.0::DOUBLE ELSE 3.0::DOUBLE / (3 - se) END * 1.3::DOUBLE * 0.9::DOUBLE AS v FROM e)
-SELECT event_id, CASE WHEN acc IS NULL THEN 10000 ELSE CAST(floor(greatest(0, least(100, v)) * 100 + 0.001) AS BIGINT) END AS chance_bp FROM f""")
+  / CASE WHEN event_type = 'click' THEN 1.0::DOUBLE WHEN se >= 0 THEN (3 + se) / 3.0::DOUBLE ELSE 3.0::DOUBLE / (3 - se) END * 1.3::DOUBLE * 0.9::DOUBLE AS v FROM e),
+d AS (SELECT *, CAST(CAST(greatest(0, least(100, v)) AS VARCHAR) AS DECIMAL(30, 17)) * 100 AS x FROM f)
+SELECT event_id, CASE WHEN acc IS NULL THEN 10000 ELSE CAST(floor(x) AS BIGINT) + CASE WHEN x - floor(x) > 0.5 OR (x - floor(x) = 0.5 AND floor(x) % 2 = 1) THEN 1 ELSE 0 END END AS chance_bp FROM d""")
 def hit_chance(spark, sf):
     kind = F.col("event_type")
     rows = table(spark, sf, "events").select(
@@ -350,13 +350,7 @@ def hit_chance(spark, sf):
         (F.col("user_id") % 15 - 7).alias("accuracy_stage"), (F.col("event_id") % 15 - 7).alias("evasion_stage"),
         (kind == "click").alias("ignores_evasion"), F.lit(False).alias("sure_hit"), F.array(F.lit(1.3), F.lit(0.9)).alias("factors"))
     out = ops.hit_chance(rows)
-    # The operator rounds; flooring the exact value avoids comparing two rounding rules.
-    evasion = F.when(F.col("ignores_evasion"), 1.0).otherwise(B.stage_ratio(F.col("evasion_stage")))
-    exact = F.col("accuracy").cast("double") * B.stage_ratio(F.col("accuracy_stage")) / evasion * 1.3 * 0.9
-    exact = F.greatest(F.lit(0.0), F.least(F.lit(100.0), exact))
-    near = F.abs(F.col("final_accuracy") - exact) <= 0.00501
-    return out.select("event_id", F.when(F.col("chance") == 1.0, 10000).when(
-        near, F.floor(exact * 100 + 0.001)).cast("long").alias("chance_bp"))
+    return out.select("event_id", F.when(F.col("chance") == 1.0, 10000).otherwise(F.round(F.col("final_accuracy") * 100)).cast("long").alias("chance_bp"))
 
 
 @query("speed_order", """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 20 + l_partkey % 120 AS us, 20 + l_suppkey % 120 AS os,

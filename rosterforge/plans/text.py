@@ -88,10 +88,14 @@ def sample_chunks(spark, sf):
     return ops.sample_chunks(chunks(spark, sf), ["doc_id", "chunk_index"]).select("doc_id", "chunk_index", F.md5("text").alias("h"))
 
 
-@query("embed_column")
+@query("embed_column", """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
+c AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 4))::INTEGER % 64 AS dim, count(*) AS n FROM t GROUP BY ALL), s AS (SELECT doc_id, sqrt(sum(n * n)::DOUBLE) AS norm FROM c GROUP BY 1)
+SELECT doc_id, dim, CAST(floor((n / norm)::FLOAT::DOUBLE * 100000000) AS BIGINT) AS value_e8 FROM c JOIN s USING (doc_id)""")
 def embed_column(spark, sf):
+    """Every component of every vector that is not zero."""
     rows = ops.embed_column(table(spark, sf, "documents").select("doc_id", "text"), "text", ops.hashed_token_encoder)
-    return rows.select("doc_id", F.size("embedding").alias("dims"), F.round(F.get("embedding", F.lit(0)), 4).alias("first"))
+    each = rows.select("doc_id", F.posexplode("embedding").alias("dim", "value")).where("value <> 0")
+    return each.select("doc_id", "dim", F.floor(F.col("value").cast("double") * 100000000).cast("long").alias("value_e8"))
 
 
 # --- questions and ranking -------------------------------------------------------------------

@@ -392,13 +392,13 @@ def method_priority(spark, sf):
 
 
 @query("candidate_gap", f"""WITH {SQL_VECS}, h AS (SELECT q, s, label, row_number() OVER (PARTITION BY q ORDER BY s DESC, pairs.id) AS rank FROM pairs JOIN refs USING (id)),
-t AS (SELECT q, max(CASE WHEN rank = 1 THEN s END) - max(CASE WHEN rank = 2 THEN s END) AS gap, string_agg('L' || label, ' | ' ORDER BY rank) AS labels FROM h WHERE rank <= 5 GROUP BY 1)
+t AS (SELECT q, max(CASE WHEN rank = 1 THEN s END) - max(CASE WHEN rank = 2 THEN s END) AS gap, string_agg('L' || label || ':' || printf('%.3f', round_even(s, 3)), ' | ' ORDER BY rank) AS labels FROM h WHERE rank <= 5 GROUP BY 1)
 SELECT q, CAST(round(gap * 100000) AS BIGINT) AS gap, labels FROM t""")
 def candidate_gap(spark, sf):
     r = references(spark, sf)
     hits = ops.knn_topk(query_rows(spark, sf), r, 5).join(r.select("id", F.concat(F.lit("L"), F.col("label").cast("string")).alias("label")), "id")
     out = ops.candidate_gap(hits)
-    return out.select("q", _bp("gap", 100000).alias("gap"), F.regexp_replace("top_text", ":-?[0-9.]+", "").alias("labels"))
+    return out.select("q", _bp("gap", 100000).alias("gap"), F.col("top_text").alias("labels"))
 
 
 SQL_BLOCKED = r"regexp_matches(lower(name), '\bmega\b') OR regexp_matches(lower(path), '(^|[-_/])mega($|[-_. /])') OR contains(lower(path), 'gigantamax') OR ends_with(path, '/p7.png')"

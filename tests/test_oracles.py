@@ -10,7 +10,7 @@ from tests.oracle import compare, connect
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = load_all()
 # Checked by other tests: no SQL twin.
-WITHOUT_SQL = {"embed_column", "cluster_vectors"}
+WITHOUT_SQL = {"cluster_vectors"}
 
 
 @pytest.fixture(scope="module")
