@@ -13,7 +13,6 @@ from rosterforge.llm.shared import WordHashes, cells_of, connected_components, i
 BAND_RATIO = 1.25
 BLOCK_ROWS = 1024
 SKETCH_WORDS = 16  # 1,024 parity bits for the check of candidates
-BROADCAST_IDS = 1_000_000  # ids of documents to read again, 8 bytes each; more of them meet the texts by a shuffle
 
 
 def band_starts(largest: int) -> list[int]:
@@ -84,30 +83,27 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
     return (int(np.bitwise_xor.reduce(tokens)), int(mix(tokens).sum(dtype=np.uint64))) if len(tokens) else (0, 0)
 
 
-def _described(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, x, s, bits) per row: size, two digests and parity bits of the set."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _sets(batches, size):
-            digests = np.array([_digest(s) for s in sets], np.uint64).view(np.int64).reshape(-1, 2)
-            bits = _lists([parity_bits(s).view(np.uint64) for s in sets])
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), bits], ["id", "n", "x", "s", "bits"])
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, x long, s long, bits array<long>")
+def _described(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, n, x, s, bits, keys) per row: size, two digests, parity bits and sketch keys of the set, made in one pass.
 
-
-def _keyed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, keys) per row. A task writes keys for the first row it sees of equal sets; the others share its fate by digest."""
+    A task writes keys for the first row with an id that it sees of equal sets; the others share its fate by digest.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for ids, sets in _sets(batches, size):
+            digests = [_digest(s) for s in sets]
             fresh = []
-            for tokens in sets:
-                mark = _digest(tokens)
-                fresh.append(mark not in seen)
-                seen.add(mark)
+            for named, mark in zip(ids.is_valid().to_pylist(), digests, strict=True):
+                fresh.append(named and mark not in seen)
+                if named:
+                    seen.add(mark)
             if len(seen) > 200_000:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([ids, _lists([sketch_keys(s, percent) if f else s[:0] for s, f in zip(sets, fresh, strict=True)])], ["id", "keys"])
-    return docs.select("id", "text").mapInArrow(run, "id long, keys array<long>")
+            marks = np.array(digests, np.uint64).view(np.int64).reshape(-1, 2)
+            bits = _lists([parity_bits(s).view(np.uint64) for s in sets])
+            keys = _lists([sketch_keys(s, percent) if f else s[:0] for s, f in zip(sets, fresh, strict=True)])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), bits, keys], ["id", "n", "x", "s", "bits", "keys"])
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, x long, s long, bits array<long>, keys array<long>")
 
 
 def _tokens(docs: DataFrame, size: int) -> DataFrame:
@@ -188,18 +184,15 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 80, key
     repeat a key give one row each and one text's links hold for all of them. An empty table gives no rows.
     """
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    made = staged(_described(docs, size))
+    made = staged(_described(docs, size, percent))
     known = made.where("id IS NOT NULL AND n > 0").select("id", "n", "bits").dropDuplicates(["id"])
     shared = Window.partitionBy("k")
-    rows = _keyed(docs.where("id IS NOT NULL"), size, percent).select("id", F.explode("keys").alias("k"))
+    rows = made.where("id IS NOT NULL").select("id", F.explode("keys").alias("k"))
     live = staged(rows.withColumn("lo", F.min("id").over(shared)).withColumn("hi", F.max("id").over(shared)).where("lo <> hi").select("k", "id"))
     # Buckets compare parity bits alone. What they let through forms clusters, close to the true groups.
     met = staged(in_blocks(live, "k", BLOCK_ROWS, known).mapInArrow(_forest(percent, "k", False), "a long, b long").distinct())
     clusters = staged(connected_components(met).withColumnRenamed("component", "cluster"))
-    wanted = clusters.select("id")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    sets = staged(_tokens(docs.join(wanted, "id", "left_semi"), size).dropDuplicates(["id"]).join(known, "id"))
+    sets = staged(_tokens(docs.join(clusters.select("id"), "id", "left_semi"), size).dropDuplicates(["id"]).join(known, "id"))
     linked = staged(in_blocks(clusters, "cluster", BLOCK_ROWS, sets).mapInArrow(_forest(percent, "cluster", True), "a long, b long"))
     groups = connected_components(linked)
     # Equal sets are one class; its component is the smallest id that any member reaches.
@@ -207,7 +200,7 @@ def near_duplicate_groups(docs: DataFrame, size: int = 5, percent: int = 80, key
     lowest = classes.groupBy(F.coalesce("group", "rep").alias("of")).agg(F.min("component").alias("component_id"))
     named = classes.withColumn("of", F.coalesce("group", "rep")).join(lowest, "of").select("n", "x", "s", "component_id")
     few = named.join(made.where("n > 0").groupBy("n", "x", "s").agg(F.count("*").alias("rows"), F.min("id").alias("rep")), ["n", "x", "s"]).where("rows > 1 OR component_id <> rep").drop("rows", "rep")
-    out = made.drop("bits").join(few, ["n", "x", "s"], "left")
+    out = made.drop("bits", "keys").join(few, ["n", "x", "s"], "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
