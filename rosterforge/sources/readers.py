@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from rosterforge.functions.strings import clean_text
 from rosterforge.operators.ingest import CONTRACTS
+from rosterforge.sources.json_ranges import json_members
 
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "webp")
 WRAPPERS = ("pokemon", "sprites", "records")
@@ -34,28 +35,15 @@ def scan_keyed_json(spark: SparkSession, path: str, value_schema: T.StructType,
     """Records given as an array, or as an object keyed by name whose values are one or many.
 
     Adds ``key_col`` (null for arrays) and ``pos`` within the file. A missing path is an empty
-    table; known wrapper keys are unwrapped.
+    table; known wrapper keys are unwrapped. A large file is cut into byte ranges that many tasks read.
     """
-    empty = T.StructType([T.StructField(key_col, T.StringType()), T.StructField("pos", T.LongType()), *value_schema.fields])
-    try:
-        text = spark.read.text(path, wholetext=True)
-    except AnalysisException as error:
-        if path_missing(error):
-            return spark.createDataFrame([], empty)
-        raise
     item = value_schema.simpleString()
-    value = F.trim("value")
-    wrapped = F.coalesce(*[F.get_json_object(value, f"$.{w}") for w in wrappers])
-    body = F.when(wrapped.startswith("["), wrapped).otherwise(value)
-    rows = text.select(body.alias("j"))
-    listed = rows.where(F.col("j").startswith("[")).select(
-        F.lit(None).cast("string").alias(key_col), F.posexplode(F.from_json("j", f"array<{item}>")).alias("pos", "r"))
-    pairs = rows.where(F.col("j").startswith("{")).select(
-        F.posexplode(F.map_entries(F.from_json("j", "map<string,string>"))).alias("pos", "e"))
-    many = F.when(F.trim("e.value").startswith("["), F.from_json("e.value", f"array<{item}>")).otherwise(
-        F.array(F.from_json("e.value", item)))
-    keyed = pairs.select(F.col("e.key").alias(key_col), "pos", F.explode(many).alias("r"))
-    return listed.unionByName(keyed).select(key_col, F.col("pos").cast("long").alias("pos"), "r.*")
+    rows = json_members(spark, path, wrappers)
+    entry = F.get(F.map_entries(F.from_json(F.concat(F.lit("{"), "member", F.lit("}")), "map<string,string>")), F.lit(0))
+    entries = rows.select("listed", "pos", "member", F.when(~F.col("listed"), entry).alias("e"))
+    one = F.array(F.from_json(F.when(F.col("listed"), F.col("member")).otherwise(F.col("e.value")), item))
+    many = F.when(~F.col("listed") & F.trim("e.value").startswith("["), F.from_json("e.value", f"array<{item}>")).otherwise(one)
+    return entries.select(F.col("e.key").alias(key_col), "pos", F.explode(many).alias("r")).select(key_col, "pos", "r.*")
 
 
 def contract_schema(contract: str) -> T.StructType:
