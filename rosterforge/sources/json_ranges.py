@@ -147,6 +147,8 @@ class _RangesReader(DataSourceReader):
         info = fs.get_file_info(inner)
         listed = fs.get_file_info(pafs.FileSelector(inner)) if info.type == pafs.FileType.Directory else [info]
         files = [i for i in listed if i.type == pafs.FileType.File and not i.base_name.startswith(("_", "."))]
+        if closed := [i.path for i in files if i.base_name.endswith((".gz", ".bz2", ".zst", ".lz4", ".snappy"))]:
+            raise ValueError(f"compressed files have no byte ranges to read: {closed[:5]}")
         # What stands before the inner path, such as a scheme with its host, goes before each file again.
         head = self.path.rstrip("/").removesuffix(inner.rstrip("/")) if "://" in self.path else ""
         task = max(self.piece, self.task // self.piece * self.piece)
@@ -223,7 +225,7 @@ def json_members(spark: SparkSession, path: str, wrappers: Sequence[str] = (), p
 
     The first of ``wrappers`` that a top-level object holds and that is not null stands for the file if it is an array.
     A task holds one range (some forty times ``piece_bytes``, 160 MB as set) and the member that leaves it. Files without
-    an array or object, and a missing path, give no rows. Text is UTF-8; compressed files are not read.
+    an array or object, and a missing path, give no rows. Text is UTF-8; compressed files are an error.
     """
     spark.dataSource.register(JsonRanges)
     states = spark.read.format("json_ranges").option("names", ",".join(wrappers)).option("piece_bytes", piece_bytes).option("task_bytes", task_bytes).load(path)
